@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm.encoding import repair_encoding
+from quireflow.llm.texttype import classify_texts
 from quireflow.session import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-empty texts of readings and examples that are not natural prose, with their kind."""
+    readings = load(spark, sf_dir, "engine_results").select(F.lit("engine_results").alias("rec_table"), F.col("result_id").cast("string").alias("rec_key"), "text")
+    examples = load(spark, sf_dir, "document_examples").select(F.lit("document_examples").alias("rec_table"), F.col("id").alias("rec_key"), F.col("text_content").alias("text"))
+    kinds = classify_texts(readings.unionByName(examples), "text", keep_text=False).filter("text_kind <> 'prose'")
+    return kinds.groupBy("rec_table", "rec_key").agg(F.min("text_kind").alias("text_kind"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a wrongly decoded passage."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -22,4 +31,4 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("doc_id", F.col("encoding_fix.restored").alias("restored_text"), F.array_join("encoding_fix.chains", "; ").alias("chains"), "encoding_fix.lost")
 
 
-QUERIES = {"p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
