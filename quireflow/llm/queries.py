@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm.encoding import repair_encoding
+from quireflow.llm.scannoise import find_scan_noise, repair_scans
 from quireflow.llm.texttype import classify_texts
 from quireflow.session import load
 
@@ -31,4 +32,23 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("doc_id", F.col("encoding_fix.restored").alias("restored_text"), F.array_join("encoding_fix.chains", "; ").alias("chains"), "encoding_fix.lost")
 
 
-QUERIES = {"p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
+def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_table, rec_key, text) of readings, fused texts and examples."""
+    readings = load(spark, sf_dir, "engine_results").select(F.lit("engine_results").alias("rec_table"), F.col("result_id").cast("string").alias("rec_key"), "text")
+    fused = load(spark, sf_dir, "consensus").select(F.lit("consensus").alias("rec_table"), F.col("doc_id").cast("string").alias("rec_key"), F.col("consensus_text").alias("text"))
+    examples = load(spark, sf_dir, "document_examples").select(F.lit("document_examples").alias("rec_table"), F.col("id").alias("rec_key"), F.col("text_content").alias("text"))
+    return readings.unionByName(fused).unionByName(examples)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of scanned texts with noise, by kind; redelivered readings count once."""
+    return find_scan_noise(scanned_texts(spark, sf_dir), "text").distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned texts as continuous paragraphs; redelivered readings count once."""
+    fixed = repair_scans(scanned_texts(spark, sf_dir), "text").filter("scan_repaired is not null")
+    return fixed.groupBy("rec_table", "rec_key").agg(F.min("scan_repaired").alias("repaired_text"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
