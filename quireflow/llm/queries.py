@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm.encoding import repair_encoding
+from quireflow.llm.privacy import redact
 from quireflow.llm.scannoise import find_scan_noise, repair_scans
 from quireflow.llm.texttype import classify_texts
 from quireflow.session import load
@@ -51,4 +52,25 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.groupBy("rec_table", "rec_key").agg(F.min("scan_repaired").alias("repaired_text"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
+#: The secret of the pseudonyms in the registered queries; a user of redact brings an own one.
+QUERY_KEY = "registered queries"
+
+
+def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = load(spark, sf_dir, "consensus").select(F.lit("consensus").alias("rec_table"), F.col("doc_id").cast("string").alias("rec_key"), F.col("consensus_text").alias("text"))
+    examples = load(spark, sf_dir, "document_examples").select(F.lit("document_examples").alias("rec_table"), F.col("id").alias("rec_key"), F.col("text_content").alias("text"))
+    return fused.unionByName(examples)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of persons and how to reach or identify them."""
+    mentions = redact(_personal_texts(spark, sf_dir), "text", QUERY_KEY).select("rec_table", "rec_key", F.explode("pii_mentions").alias("m"))
+    return mentions.select("rec_table", "rec_key", "m.pii_type", "m.start_pos")
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with every mention replaced by a typed placeholder."""
+    return redact(_personal_texts(spark, sf_dir), "text", QUERY_KEY).select("rec_table", "rec_key", F.col("pii_redacted").alias("redacted_text"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
