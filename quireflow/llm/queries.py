@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireflow.llm.addresses import link_addresses, same_place_pairs
 from quireflow.llm.encoding import repair_encoding
 from quireflow.llm.privacy import redact
 from quireflow.llm.scannoise import find_scan_noise, repair_scans
@@ -52,6 +53,20 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.groupBy("rec_table", "rec_key").agg(F.min("scan_repaired").alias("repaired_text"))
 
 
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pattern_matches").filter(F.col("pattern").isin("us_address", "po_box")).select("match_id", "value")
+
+
+def p3_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address row with the id of its place."""
+    return link_addresses(_addresses(spark, sf_dir), "value").groupBy("match_id").agg(F.min("place_id").alias("place_id"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of address rows that name the same place."""
+    return same_place_pairs(p3_places(spark, sf_dir), "match_id").select(F.col("a").alias("match_id_a"), F.col("b").alias("match_id_b"))
+
+
 #: The secret of the pseudonyms in the registered queries; a user of redact brings an own one.
 QUERY_KEY = "registered queries"
 
@@ -73,4 +88,4 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_personal_texts(spark, sf_dir), "text", QUERY_KEY).select("rec_table", "rec_key", F.col("pii_redacted").alias("redacted_text"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_redacted": p6_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p3_found": p3_found, "p3_places": p3_places, "p6_found": p6_found, "p6_redacted": p6_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
