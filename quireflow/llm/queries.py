@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.addresses import link_addresses, same_place_pairs
 from quireflow.llm.encoding import repair_encoding
-from quireflow.llm.privacy import redact
+from quireflow.llm.mixing import mix
+from quireflow.llm.packing import pack
+from quireflow.llm.privacy import find_personal, redact
 from quireflow.llm.scannoise import find_scan_noise, repair_scans
 from quireflow.llm.texttype import classify_texts
-from quireflow.session import load
+from quireflow.llm.tokens import token_count
+from quireflow.session import load, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +82,7 @@ def _personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of persons and how to reach or identify them."""
-    mentions = redact(_personal_texts(spark, sf_dir), "text", QUERY_KEY).select("rec_table", "rec_key", F.explode("pii_mentions").alias("m"))
-    return mentions.select("rec_table", "rec_key", "m.pii_type", "m.start_pos")
+    return find_personal(_personal_texts(spark, sf_dir), "text").drop("end_pos")
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +90,36 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_personal_texts(spark, sf_dir), "text", QUERY_KEY).select("rec_table", "rec_key", F.col("pii_redacted").alias("redacted_text"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_places": p3_places, "p6_found": p6_found, "p6_redacted": p6_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
+def _sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
+    return written(docs, "sized-documents")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents assigned to containers of every capacity of container_specs."""
+    return pack(_sized_documents(spark, sf_dir), "doc_id", "n_tokens", load(spark, sf_dir, "container_specs"), "container_kind", "capacity_tokens")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and share of their capacity left unused, by kind."""
+    boxes = p7_containers(spark, sf_dir).groupBy("container_kind", "container_id").agg(F.max("container_used").alias("used"))
+    spec = load(spark, sf_dir, "container_specs")
+    filled = boxes.join(spec, "container_kind").groupBy("container_kind", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
+    return filled.withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+#: The curriculum of the registered queries: where the rare sources are used more in the later part.
+QUERY_TILT = {"microfiche": 0.5, "courier_box": 0.5, "field_tablet": 0.25, "web_upload": -0.25}
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training mix: documents in order of the progress at which they are due."""
+    return mix(_sized_documents(spark, sf_dir), "doc_id", "source", "n_tokens", load(spark, sf_dir, "mix_targets"), QUERY_TILT)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mix(_sized_documents(spark, sf_dir), "doc_id", "source", "n_tokens", load(spark, sf_dir, "mix_targets"), QUERY_TILT)[1]
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p3_found": p3_found, "p3_places": p3_places, "p6_found": p6_found, "p6_redacted": p6_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}
