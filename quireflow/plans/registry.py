@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.plans import values
+from quireflow.plans import fusion, learning, scoring, texts, values
+
+MODULES = (fusion, texts, scoring, learning, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(values.QUERIES)
+    """Every query of the core: (spark, folder of the tables) -> DataFrame."""
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in getattr(m, "SQL", {}).items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values.p5_found(spark, sf_dir)
+    return fusion.word_vote_weighted(spark, sf_dir)
