@@ -36,6 +36,9 @@ MONTH_NAMES = {
 #: First and last UTC year of the interval table.
 FIRST_YEAR, LAST_YEAR = 1970, 2100
 
+#: 2037-01-01 UTC: until then the offsets are compiled, later ones follow from rules.
+_COMPILED_UNTIL = 2114380800
+
 _MONTH = {w: m for m, names in MONTH_NAMES.items() for w in names.split()}
 _WORD = "([A-Za-zÀ-ÿ]+)"
 _TAIL = (
@@ -157,6 +160,11 @@ def _intervals(first: int, last: int) -> list[tuple]:
         except Exception:  # a name the local database lists but can't open
             continue
         offs = local - utc
+        late = utc >= _COMPILED_UNTIL
+        if late.any() and len(set(offs[(utc >= _COMPILED_UNTIL - 4 * 366 * 86400) & ~late].tolist())) > 1:  # rules go on
+            offs[late] = [at(int(t))[0] for t in utc[late]]
+        elif late.any():
+            offs[late] = at(int(utc[late][0]))[0]
         cuts = []
         for i in (offs[1:] != offs[:-1]).nonzero()[0]:
             lo, hi = int(utc[i]), int(utc[i + 1])
