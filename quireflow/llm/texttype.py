@@ -81,7 +81,7 @@ def measure(t: str) -> tuple[float, ...]:
         elif (long_word and _BASE64.search(s)) or (len(s) >= 20 and s[-3:-2] == " " and _HEX.search(s)):
             coded += 1
     return (
-        float(len(words)), float(len(lines)), chars / nw if words else 0.0, letters / chars, max(0, chars - alnum) / chars, end / nl,
+        float(len(words)), float(len(lines)), chars / nw if words else 0.0, letters / chars, max(0, chars - alnum) / chars if words else 0.0, end / nl,
         sum(w.strip(".,;:!?()\"'„“”«»") in _COMMON for w in words) / nw, marked / nl, cells / nl, commas / nl, amounts / nl, short / nl, running / nl,
         len(_SENTENCE.findall(t)) / nl, coded / nl, same / nl, len(_STRAY.findall(t)) / nw, vowels / letters if letters else 0.0, len(set(words)) / nw if words else 0.0, nw / nl if words else 0.0,
     )
