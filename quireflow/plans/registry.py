@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.plans import fusion, learning, scoring, texts, values
+from quireflow.plans import fusion, learning, review, scoring, texts, values
 
-MODULES = (fusion, texts, scoring, learning, values)
+MODULES = (fusion, texts, scoring, review, learning, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

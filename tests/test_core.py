@@ -62,6 +62,15 @@ def test_error_types(spark):
     assert kinds == ["missing_extraction", "false_positive", "both_empty", "length_mismatch", "character_substitution", "formatting_error", "content_difference"]
 
 
+def test_greedy_match(spark):
+    from quireflow.operators.feedback import greedy_box_match
+
+    s = "doc_id long, {} int, x double, y double, w double, h double"
+    words = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1.0, 0.0, 10.0, 10.0), (2, 0, 0.0, 0.0, 1.0, 1.0)], s.format("word_no"))
+    regions = spark.createDataFrame([(1, 0, 0.5, 0.0, 10.0, 10.0), (1, 1, 90.0, 0.0, 10.0, 10.0)], s.format("region_no"))
+    assert [(r["word_no"], r["region_no"]) for r in greedy_box_match(words, regions).collect()] == [(0, 0)]
+
+
 def test_image_scores():
     flat, check = np.full((40, 40), 128, np.uint8), (np.indices((40, 40)).sum(0) % 2 * 255).astype(np.uint8)
     assert scoring.blur_score(flat) == (0.0, True, 0.0) and scoring.blur_score(check)[1:] == (False, 1.0)
