@@ -91,7 +91,7 @@ def text_statistics(text: Column) -> Column:
     """struct of per-text statistics, null for null texts.
 
     Counted in one pass of a batched Python function: as some twenty JVM regular expressions over the whole text the
-    same statistics took thirty times as long.
+    same statistics took many times as long.
     """
 
     @F.pandas_udf(", ".join(f"{n} double" for n in STATISTICS))
