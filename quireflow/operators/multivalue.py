@@ -2,8 +2,9 @@
 
 A dictionary of known whole values is counted over the whole input. For a field, a multi-pattern automaton finds the
 known values in it that contain separator characters, quoted spans and amounts are protected alike, and dynamic
-programming picks the cheapest cover of the field by values. The dictionary that reaches the workers holds only values
-that make up at least MIN_SHARE of all counted values, so it never has more than 1 / MIN_SHARE entries.
+programming picks the cheapest cover of the field by values. For cells the values that can stand in a cell are joined
+to it from the whole dictionary. For lines of tables the dictionary that reaches the workers holds only values that make
+up at least MIN_SHARE of all counted values, so it never has more than 1 / MIN_SHARE entries.
 """
 
 from __future__ import annotations
@@ -14,16 +15,23 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: A dictionary entry makes up at least this share of the counted values: at most 50,000 entries.
+from quireflow.session import written
+
+#: An entry of the lines' dictionary makes up at least this share of the counted values: at most 50,000 entries.
 MIN_SHARE = 2e-5
 #: A column is one of packed values if the pieces of at least this share of its separated cells are values of its kind.
 PACKED_SHARE = 0.5
 
 _QUOTED = re.compile(r'"(?:[^"]|"")*"|\'[^\']*\'')
 _CELL_SEP = re.compile(r"[,;|\t\n/&·]")
+#: Where a value can start or end in a cell.
+_BOUND = re.compile(r"[,;|\t\n/&·]| {2,}")
+#: Dictionary values with more separators than this are looked up by a piece of them.
+WIDE = 6
 _AMOUNT = re.compile(r"\(?(?:[$€£] ?)?(?<![\d.])\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?(?!\d)")
 ITEMS = "array<struct<item_pos:int,item_value:string>>"
 
@@ -122,13 +130,70 @@ def _pieces(text: str, known: ahocorasick.Automaton | None, cost) -> list[str]:
 
 def cell_dictionary(cells: DataFrame, text: str, kind: str) -> DataFrame:
     """Counts of whole values by kind: (kind, value, n), from cells without any separator and from quoted places."""
-    whole = F.when(~F.col(text).rlike(_CELL_SEP.pattern), F.array(F.trim(F.col(text))))
+    whole = F.when(~F.col(text).rlike(_CELL_SEP.pattern), F.array(F.col(text)))
     quoted = F.transform(F.regexp_extract_all(F.col(text), F.lit('(?:^|[,;|\\t\\n/&·])\\s*"((?:[^"]|"")*)"\\s*(?=$|[,;|\\t\\n/&·])'), 1), lambda v: F.replace(v, F.lit('""'), F.lit('"')))
     counted = cells.filter(F.col(text).isNotNull() & F.col(kind).isNotNull())
-    values = counted.select(F.col(kind).alias("kind"), F.explode(F.coalesce(whole, quoted)).alias("value")).filter("value <> ''")
+    values = counted.select(F.col(kind).alias("kind"), F.explode(F.coalesce(whole, quoted)).alias("value")).select("kind", F.trim("value").alias("value")).filter("value <> ''")
     return values.groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
+def _loose(piece: str) -> str:
+    return re.sub(r"[\s\"']+", " ", piece).strip()
+
+
+def lookups(text: str) -> set[str]:
+    """The keys under which any dictionary value that stands in the text is found.
+
+    A value of up to WIDE separators is its own key, one of more its first piece that is not empty, marked.
+    """
+    bounds = [(m.start(), m.end(), m[0][0] != " ") for m in _BOUND.finditer(text)]
+    lo, hi = [0, *[e for _, e, _ in bounds]], [*[s for s, *_ in bounds], len(text)]
+    out = set()
+    for i in range(len(lo)):
+        wide = 0
+        for j in range(i, len(hi)):
+            if j > i and bounds[j - 1][2]:
+                wide += 1
+                if wide > WIDE:
+                    break
+            place = text[lo[i] : hi[j]].strip()
+            out.add(place)
+            out.add(unquoted(place))
+    if sum(x for *_, x in bounds) > WIDE:
+        out |= {"\0" + _loose(p) for p in _CELL_SEP.split(text)}
+    out.discard("")
+    return out
+
+
+def _key(value: str) -> str:
+    pieces = _CELL_SEP.split(value)
+    return value if len(pieces) <= WIDE + 1 else "\0" + next((k for p in pieces if (k := _loose(p))), "")
+
+
+def _learned(counts: DataFrame, separated: DataFrame) -> DataFrame:
+    """Adds to (kind, text, ...) the dictionary's values that stand in the text (words) and the usual shapes of its kind (shapes).
+
+    Both are exact: the whole dictionary is joined, and the shapes are counted over all of it.
+    """
+
+    @F.pandas_udf("key string, shape string")
+    def described(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"key": [_key(v) for v in values], "shape": [shape(v) for v in values]})
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, t, x) for k, t in zip(b["kind"], b["text"]) for x in lookups(t)]
+            yield pd.DataFrame(rows, columns=["kind", "text", "key"])
+
+    known = written(counts.select("kind", "value", "n", described("value").alias("d")).select("kind", "value", "n", "d.*"), "cell-values")
+    of_kind = known.groupBy("kind", "shape").agg(F.sum("n").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("kind")))
+    shapes = of_kind.filter(F.col("n") >= 0.02 * F.col("total")).groupBy("kind").agg(F.collect_set("shape").alias("shapes"))  # at most 50 a kind
+    pieces = separated.select("kind", "text").mapInPandas(keys, "kind string, text string, key string")
+    found = pieces.join(known.select("kind", "key", "value"), ["kind", "key"]).filter(~F.col("key").startswith("\0") | F.contains(F.replace("text", F.lit('""'), F.lit('"')), F.col("value")))
+    words = found.groupBy("kind", "text").agg(F.collect_set("value").alias("words"))
+    return separated.join(words, ["kind", "text"], "left").join(shapes, "kind", "left")
+
+
 def split_cells(cells: DataFrame, text: str, kind: str) -> DataFrame:
     """Adds items, an array of (item_pos, item_value), to every cell.
 
@@ -138,66 +203,32 @@ def split_cells(cells: DataFrame, text: str, kind: str) -> DataFrame:
     of most of its separated cells must be values of the kind. Any other columns are kept; a column named items is
     replaced. Repeated rows give repeated results.
     """
-    spark = cells.sparkSession
-    counts = cell_dictionary(cells, text, kind)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(F.col("n") >= max(1.0, MIN_SHARE * total)).collect()  # at most 1 / MIN_SHARE rows
-    words: dict[str, set[str]] = {}
-    shapes: dict[str, Counter] = {}
-    for r in rows:
-        words.setdefault(r["kind"], set()).add(r["value"])
-        shapes.setdefault(r["kind"], Counter())[shape(r["value"])] += r["n"]
-    kinds = {k: {s for s, n in c.items() if n >= 0.02 * c.total()} for k, c in shapes.items()}
-    shared = spark.sparkContext.broadcast((words, kinds))
-
-    def splitter():
-        words, kinds = shared.value
-        made: dict[str, tuple] = {}
-
-        def split(k: str, t: str) -> tuple[list[str], bool]:
-            if k not in made:
-                made[k] = (words.get(k, set()), kinds.get(k, set()), automaton(list(words.get(k, ()))))
-            ws, ss, known = made[k]
-
-            def cost(place: str) -> float:
+
+    @F.pandas_udf(f"good boolean, items {ITEMS}")
+    def split(texts: pd.Series, words: pd.Series, shapes: pd.Series) -> pd.DataFrame:
+        good, items = [], []
+        for t, ws, ss in zip(texts, words, shapes):
+            ws, ss = set() if ws is None else set(ws), set() if ss is None else set(ss)
+
+            def cost(place: str, ws=ws, ss=ss) -> float:
                 v = unquoted(place)
                 return 0.2 if not v else 0.0 if v in ws else 0.3 if shape(v) in ss else 1.0
 
-            ps = _pieces(t, known, cost)
+            ps = _pieces(t, automaton(list(ws)), cost)
             full = [p for p in ps if p]
-            return ps, len(full) >= 2 and all(p in ws or shape(p) in ss for p in full)
-
-        return split
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = splitter()
-        for b in batches:
-            got = Counter()
-            for k, t in zip(b["kind"], b["text"]):
-                got[k, 1] += 1
-                got[k, 0] += split(k, t)[1]
-            yield pd.DataFrame([(k, got[k, 0], got[k, 1]) for k, x in got if x], columns=["kind", "good", "n"])
-
-    separated = cells.filter(F.col(text).rlike(_CELL_SEP.pattern) & F.col(kind).isNotNull()).select(F.col(kind).alias("kind"), F.col(text).alias("text"))
-    judged = separated.mapInPandas(judge, "kind string, good bigint, n bigint").groupBy("kind").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    # kinds outside the dictionary have no good cell, so this is bounded like the dictionary
-    packed = {r["kind"] for r in judged.filter(F.col("good") >= PACKED_SHARE * F.col("n")).collect()}
-    shared_packed = spark.sparkContext.broadcast(packed)
-
-    @F.pandas_udf(ITEMS)
-    def items(texts: pd.Series, ks: pd.Series) -> pd.Series:
-        split, packed, out = splitter(), shared_packed.value, []
-        for t, k in zip(texts, ks):
-            if k in packed and t and _CELL_SEP.search(t):
-                ps = split(k, t)[0]
-                found = [{"item_pos": i, "item_value": p} for i, p in enumerate(ps) if p]
-                out.append(found if len(found) >= 2 else [])
-            else:
-                out.append([])
-        return pd.Series(out)
-
+            good.append(len(full) >= 2 and all(p in ws or shape(p) in ss for p in full))
+            items.append([{"item_pos": i, "item_value": p} for i, p in enumerate(ps) if p] if len(full) >= 2 else [])
+        return pd.DataFrame({"good": good, "items": items})
+
+    separated = cells.filter(F.col(text).rlike(_CELL_SEP.pattern) & F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind"), F.col(text).alias("text")).agg(F.count("*").alias("n"))
+    learned = _learned(cell_dictionary(cells, text, kind), written(separated, "separated-cells"))
+    cut = written(learned.select("kind", "text", "n", split("text", "words", "shapes").alias("s")).select("kind", "text", "n", "s.*"), "cell-places")
+    judged = cut.groupBy("kind").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"))
+    packed = judged.filter((F.col("good") > 0) & (F.col("good") >= PACKED_SHARE * F.col("n"))).select("kind")
+    places = cut.filter(F.size("items") > 0).join(packed, "kind").select(F.col("kind").alias("__qf_kind"), F.col("text").alias("__qf_text"), F.col("items").alias("__qf_items"))
     keep = [c for c in cells.columns if c.lower() != "items"]
-    return cells.select(*keep, items(F.col(text), F.col(kind)).alias("items"))
+    joined = cells.select(*keep).join(places, (F.col(text) == F.col("__qf_text")) & (F.col(kind) == F.col("__qf_kind")), "left")
+    return joined.select(*keep, F.coalesce("__qf_items", F.array().cast(ITEMS)).alias("items"))
 
 
 # Lines of tables

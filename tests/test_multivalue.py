@@ -82,3 +82,13 @@ def test_readings(spark):
     got = [(r["id"], len(r["items"])) for r in split_table_lines(df, "lines").collect()]
     assert sorted(got) == [(1, 11), (1, 11), (2, 0), (3, 0), (4, 0)]
     assert split_table_lines(df.limit(0), "lines").collect() == []
+
+
+def test_rare_values_of_a_large_dictionary(spark):
+    codes = [f"SN{i:05d}" for i in range(1500)]
+    rows = [(f"{a}, {b}", "Serial numbers") for a, b in zip(codes[::2], codes[1::2])] + [(c, "Serial numbers") for c in codes]
+    rows += [('"Dent, Arno"', "Owner"), ("Dent, Arno; Ruf", "Owner"), ("Ruf", "Owner")]
+    filler = [("yes", "Paid")] * 150_000
+    df = spark.createDataFrame(rows + filler, "text string, kind string")
+    got = {r["text"]: [i["item_value"] for i in r["items"]] for r in split_cells(df, "text", "kind").filter("size(items) > 0").collect()}
+    assert len(got) == 751 and got["SN00000, SN00001"] == ["SN00000", "SN00001"] and got["Dent, Arno; Ruf"] == ["Dent, Arno", "Ruf"]
