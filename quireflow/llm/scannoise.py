@@ -74,6 +74,7 @@ class Reader:
 
     def __init__(self, words: dict[str, int]):
         self.words = words
+        self.top = max(words.values(), default=0)
         self.memo: dict[str, str | None] = {}
         self.raw: dict[str, tuple[int, str, str | None]] = {}
 
@@ -93,9 +94,12 @@ class Reader:
             return 0, w, None
         core = low.strip("()[]'’")
         long_enough = len(core) > 2 and any(c.isalpha() for c in core)
-        if self.words.get(core, 0) > 2000:
+        n = self.words.get(core, 0)
+        if n * RATIO > self.top:  # no word is often enough to be meant
             return (1 if long_enough else 0), w, None
         fix = None if w.isdigit() else self.correction(w)
+        if fix and core != low and n * RATIO > self._count(fix):  # a word in brackets
+            fix = None
         return (0 if not long_enough else 1 if fix or core in self.words or _WORD.match(core) and _WORD.match(core)[0] in self.words else -1), w, fix
 
     def correction(self, token: str) -> str | None:
@@ -120,7 +124,7 @@ class Reader:
         if w[0] == "(":
             rest = self.words.get(w[1:], 0)
             return "c" + w[1:] if ")" not in token and self.words.get("c" + w[1:], 0) >= max(4, RATIO * rest) else None
-        if not odd and (n > 2000 or len(w) < 3):
+        if not odd and (n * RATIO > self.top or len(w) < 3):
             return None
         best, best_n = None, 0
         tried = {w}

@@ -34,3 +34,11 @@ def test_edges(spark):
     fixed = {r["id"]: r["scan_repaired"] for r in repair_scans(df, "text").collect()}
     assert fixed[2] is None and fixed[3] == "" and fixed[4] == rows[4][1] and "delivery" in fixed[6]
     assert find_scan_noise(df.limit(0), "text").collect() == []
+
+
+def test_a_misread_form_stays_one_in_a_large_corpus():
+    text = "The tax tor the note comes to the reader."
+    for times in (1, 1000):
+        reader = Reader({w: n * times for w, n in {"the": 9000, "tax": 400, "for": 5000, "tor": 17, "note": 300, "comes": 300, "reader": 300, "to": 6000}.items()})
+        assert inspect(text, reader) == ([(0, "misread")], "The tax for the note comes to the reader.")
+        assert reader.judge("(for)") == (1, "(for)", None)
