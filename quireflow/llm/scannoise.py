@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -191,6 +192,11 @@ def _close(a: str, b: str) -> bool:
     return head + tail >= 0.85 * short
 
 
+def _damaged(a: str, b: str) -> bool:
+    """Whether two lines differ in places of one or two characters only."""
+    return a == b or all(kind == "equal" or max(j - i, n - m) <= 2 for kind, i, j, m, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes())
+
+
 def is_page_number(s: str) -> bool:
     """Whether a line without surrounding blanks holds only the number of a page."""
     if not s or len(s) > 24:
@@ -237,17 +243,21 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     numbered = {i for i in norms if re.search(r"[\s|]\s*(?:\d{1,4}|[ivxl]{1,6})\s*$", lines[i])}
     used: set[int] = set()
     repeated = sum(len(v) > 1 for _, v in heads)
-    if len(heads) < len(norms) or breaks or len(numbers) > 1:
-        for s, at in heads:
-            if at[0] in used:
-                continue
-            seed = len(at) > 1 or edge(at[0]) or order[at[0]] <= 1
-            if not seed:
-                continue
-            group = sorted({j for t, other in by_norm.items() if -3 < len(t) - len(s) < 3 and _close(s, t) for j in other if j not in used})
-            if len(group) > 1:
-                groups.append(group)
-                used.update(group)
+    # lines that are close share their first or their last two characters
+    alike: dict[tuple[int, str], list[str]] = {}
+    for s in by_norm:
+        alike.setdefault((0, s[:2]), []).append(s)
+        alike.setdefault((1, s[-2:]), []).append(s)
+    for s, at in heads:
+        if at[0] in used:
+            continue
+        # without a sign of pages only single characters may differ: sentences in which a word differs are no headers
+        paged = (len(heads) < len(norms) or breaks or len(numbers) > 1) and (len(at) > 1 or edge(at[0]) or order[at[0]] <= 1)
+        near = dict.fromkeys(t for t in (*alike[0, s[:2]], *alike[1, s[-2:]]) if -3 < len(t) - len(s) < 3 and _close(s, t) and (paged or _damaged(s, t)))
+        group = sorted(j for t in near for j in by_norm[t] if j not in used)
+        if len(group) > 1:
+            groups.append(group)
+            used.update(group)
     out: set[int] = set()
     first, last = set(full[:3]), set(full[-2:])
     wrapped = sum(len(lines[i]) >= 38 for i in body) * 2 >= len(body)

@@ -42,3 +42,11 @@ def test_a_misread_form_stays_one_in_a_large_corpus():
         reader = Reader({w: n * times for w, n in {"the": 9000, "tax": 400, "for": 5000, "tor": 17, "note": 300, "comes": 300, "reader": 300, "to": 6000}.items()})
         assert inspect(text, reader) == ([(0, "misread")], "The tax for the note comes to the reader.")
         assert reader.judge("(for)") == (1, "(for)", None)
+
+
+def test_a_header_that_stands_twice_once_damaged():
+    body = ["The tax on the delivery note comes to which includes", "the footnote and the reader signed it for the cover", "department that forwarded the note to the reader and"]
+    more = ["handwritten is still legible but not in the layout", "of what it signed separate from all that comes after"]
+    for a, b in (("Schedule.B (continued)", "Schedule B (continued)"), ("Printed 06.10.2016", "Pricted 06.10.2016"), ("Toner cartridge Register 2019", "Toner .artridge Register 2019")):
+        assert furniture([a, *body, b, *more])[0] == {0, 4}
+    assert furniture(["Please note that the copy is dated and signed", *body, "Please note that the copy is burned and signed", *more])[0] == set()
