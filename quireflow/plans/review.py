@@ -48,9 +48,14 @@ def quality_indicators(spark, sf_dir):
 
 
 def greedy_box_match(spark, sf_dir):
-    r = delivered_once(load(spark, sf_dir, "engine_results").select("result_id", "doc_id", "engine_ordinal", "words", "lines", "read_at"))
-    boxes = lambda c, no: r.select("doc_id", "engine_ordinal", F.posexplode(c).alias("k", "t")).filter("t.bbox is not null").select("doc_id", F.row_number().over(f.Window.partitionBy("doc_id").orderBy("engine_ordinal", "k")).alias(no), "t.bbox.*")
-    return f.greedy_box_match(boxes("words", "word_no"), boxes("words", "region_no"))
+    """Words of each document's first engine with boxes against the words of its other engines, the regions."""
+    r = delivered_once(load(spark, sf_dir, "engine_results").select("result_id", "doc_id", "engine_ordinal", "words", "read_at"))
+    t = r.select("doc_id", "result_id", "engine_ordinal", F.posexplode("words").alias("k", "t")).filter("t.bbox is not null").select("doc_id", "result_id", "engine_ordinal", "k", "t.bbox.*")
+    first = t.groupBy("doc_id").agg(F.min("engine_ordinal").alias("first"))
+    boxes = t.join(first, "doc_id").withColumn("own", F.col("engine_ordinal") == F.col("first")).drop("first")
+    numbered = boxes.withColumn("no", F.row_number().over(f.Window.partitionBy("doc_id", "own").orderBy("engine_ordinal", "result_id", "k")))
+    side = lambda own, no: numbered.filter(F.col("own") == own).select(F.col("no").alias(no), *[F.col(c).alias(c) for c in ("doc_id", "x", "y", "w", "h")])
+    return f.greedy_box_match(side(True, "word_no"), side(False, "region_no"))
 
 
 QUERIES = {q.__name__: q for q in (pattern_issue_counts, value_kinds, discovered_types, text_labels, top_patterns, quality_indicators, greedy_box_match)}

@@ -99,3 +99,11 @@ def test_sources(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", 2, "two", 0.0, None), (1, "a", 1, "one", 0.5, None)], "doc_id int, engine_name string, page_no int, text string, confidence double, words array<struct<text:string,confidence:double,bbox:struct<x:double,y:double,w:double,h:double>>>")
     merged = scan.merge_pages(pages).first()
     assert merged["text"] == "one" + scan.PAGE_BREAK + "two" and merged["confidence"] == 0.5
+
+
+def test_greedy_match_on_the_tables(spark, data):
+    from quireflow.plans.review import greedy_box_match
+
+    rows = greedy_box_match(spark, data).collect()
+    assert rows and all(0.5 < r["iou"] <= 1 for r in rows) and any(r["iou"] < 0.999 for r in rows) and any(r["word_no"] != r["region_no"] for r in rows)
+    assert len({(r["doc_id"], r["word_no"]) for r in rows}) == len({(r["doc_id"], r["region_no"]) for r in rows}) == len(rows)
