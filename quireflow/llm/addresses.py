@@ -1,7 +1,7 @@
 """Deciding which postal addresses denote the same place.
 
-Addresses are parsed into components and reduced to their distinct forms. Forms whose street or city is spelt in an
-unusual way are compared with the other forms of their blocks (number with postcode, with the sound of the street, with
+Addresses are parsed into components and reduced to their distinct forms. Every form is
+compared with the forms of its blocks that are spelt in another, more usual way (number with postcode, with the sound of the street, with
 the city); the weights of the agreement levels, a missing part being a level of its own, are estimated by
 expectation-maximization over the counted level patterns. A form that is linked takes over the spelling of its best
 partner. What is left out is filled from the other forms of the same number, street and city; what contradicts keeps
@@ -29,6 +29,9 @@ DIRECTIONS = {"n": "north nth n", "s": "south sth s", "e": "east e est", "w": "w
 STATES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc".split()
 ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split()
 
+#: A city this many times as frequent as one a typing error away is meant by it.
+RATIO = 25
+
 _TYPE = {w: k for k, ws in STREET_TYPES.items() for w in ws.split()}
 _DIR = {w: k for k, ws in DIRECTIONS.items() for w in ws.split()}
 _ORD = {w: f"{i}{'st' if i == 1 else 'nd' if i == 2 else 'rd' if i == 3 else 'th'}" for i, w in enumerate(ORDINALS, 1)}
@@ -172,22 +175,26 @@ def _keys(f: DataFrame, prefix: str) -> DataFrame:
 
 
 def _city_spellings(cities: DataFrame) -> DataFrame:
-    """(city, city_as): for cities spelt once or twice, the usual city a typing error away, blocked on parts of the name."""
+    """(city, city_as): for cities spelt once or twice or 1 / RATIO as often, the usual city a typing error away, blocked on parts of the name."""
 
     def blocks(f: DataFrame) -> DataFrame:
         c = F.col("city")
         keys = F.array(F.concat(F.lit("a"), F.substring(c, 1, 4)), F.concat(F.lit("z"), F.substring(c, -4, 4)), F.concat(F.lit("s"), F.soundex(c)))
         return f.select("city", "n", F.explode(F.array_distinct(keys)).alias("key"))
 
-    pairs = blocks(cities.filter("n < 3")).alias("a").join(blocks(cities.filter("n >= 3")).alias("b"), "key").select(F.col("a.city"), F.col("b.city").alias("city_as"), F.col("b.n").alias("n"))
+    usual = (F.col("b.n") >= 3) & ((F.col("a.n") < 3) | (F.col("b.n") >= RATIO * F.col("a.n")))
+    pairs = blocks(cities).alias("a").join(blocks(cities.filter("n >= 3")).alias("b"), "key").filter(usual).select(F.col("a.city"), F.col("b.city").alias("city_as"), F.col("b.n").alias("n"))
     near = pairs.withColumn("d", F.levenshtein("city", "city_as")).filter((F.col("d") <= 2) & (F.col("d") * 4 <= F.length("city")))
     best = Window.partitionBy("city").orderBy("d", F.desc("n"), "city_as")
     return near.withColumn("__r", F.row_number().over(best)).filter("__r = 1").select("city", "city_as")
 
 
-def _linked(rare: DataFrame, others: DataFrame, chance: list[dict[int, float]]) -> DataFrame:
-    """(form, street, city): for rare forms with a partner among others, the partner's spelling."""
-    pairs = _keys(rare, "a_").join(_keys(others, "b_"), "key").filter(F.col("a_form") != F.col("b_form")).drop("key").dropDuplicates(["a_form", "b_form"])
+def _linked(forms: DataFrame, chance: list[dict[int, float]]) -> DataFrame:
+    """(form, street, city): for forms with a partner of a more usual spelling in one of their blocks, the partner's spelling."""
+    usual = lambda p: F.struct(F.coalesce(p + "street_n", F.lit(0)), F.coalesce(p + "city_n", F.lit(0)), F.coalesce(p + "n_spelt", F.lit(0)))
+    spelt = lambda p: F.concat_ws("|", F.coalesce(p + "street", F.lit("")), F.coalesce(p + "city", F.lit("")))
+    leads = (usual("b_") > usual("a_")) | ((usual("b_") == usual("a_")) & (spelt("b_") < spelt("a_")))
+    pairs = _keys(forms, "a_").join(_keys(forms, "b_"), "key").filter((spelt("a_") != spelt("b_")) & leads).drop("key").dropDuplicates(["a_form", "b_form"])
     c = F.col
     levels = _levels()
     compared = written(pairs.select("a_form", "b_form", "a_box", "a_street", "a_city", "b_street", "b_city", "b_n", "b_street_n", *[v.alias(k) for k, v in levels.items()]), "address-pairs")
@@ -249,15 +256,8 @@ def link_addresses(rows: DataFrame, value: str) -> DataFrame:
     streets = forms.filter("street is not null").groupBy("street").agg(F.sum("n").alias("street_n"))
     cities = forms.filter("city is not null").groupBy("city").agg(F.sum("n").alias("city_n"))
     forms = forms.join(streets, "street", "left").join(cities, "city", "left")
-    rare = ((F.col("street").isNotNull()) & (F.coalesce("street_n", F.lit(0)) < 3)) | (F.coalesce("city_n", F.lit(0)) < 3)
-    forms = written(forms.withColumn("rare", rare), "address-counts")
-    chance = chance_levels(forms)
-    first = written(_linked(forms.filter("rare"), forms.filter("not rare"), chance), "address-links")
-    left = forms.filter("rare").join(first, "form", "left_anti")
-    ranked = Window.partitionBy("form").orderBy("street", "city")
-    second = _linked(left, left, chance).withColumn("__r", F.row_number().over(ranked)).filter("__r = 1").drop("__r")
-    # of two rare forms that point at each other, the one with the smaller spelling leads
-    links = first.unionByName(second.join(left.select("form", F.col("street").alias("own"), F.col("city").alias("own_city")), "form").filter(F.concat_ws("|", "street", "city") < F.concat_ws("|", "own", "own_city")).drop("own", "own_city"))
+    forms = written(forms.withColumn("n_spelt", F.sum("n").over(Window.partitionBy("box", "number", "street", "city"))), "address-counts")
+    links = _linked(forms, chance_levels(forms))
     links = links.withColumnRenamed("street", "street2").withColumnRenamed("city", "city2")
     spelt = forms.join(links, "form", "left").select("form", "n", "dir", "type", F.concat_ws("|", F.coalesce(F.concat(F.lit("box "), "box"), "number"), F.coalesce("street2", "street", F.lit("")), F.coalesce("city2", "city", F.lit(""))).alias("base"))
 

@@ -40,3 +40,11 @@ def test_weights_tell_matches_from_chance():
     chance = [{-1: 0.01, 0: 0.95, 1: 0.02, 2: 0.02}, {-1: 0.3, 0: 0.6, 1: 0.1, 2: 1e-3}]
     post = linkage_weights(patterns, np.array([50.0, 20.0, 400.0, 60.0]), chance)
     assert min(post[:2]) > 0.5 > max(post[2:])
+
+
+def test_a_misspelling_that_is_repeated(spark):
+    right = [f"{n} N Galaphstead St, Dale, PA 10001" for n in range(10, 40)]
+    wrong = [f"12 N Galaphstaed St, Dale, PA 10001{x}" for x in ("", ", USA", ", U.S.A.", " USA")]
+    df = spark.createDataFrame(list(enumerate([*right * 3, *wrong])), "id int, value string")
+    ids = {r["value"]: r["place_id"] for r in link_addresses(df, "value").collect()}
+    assert {ids[w] for w in wrong} == {ids[right[2]]} and len({ids[x] for x in right}) == len(right)
