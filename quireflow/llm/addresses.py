@@ -3,8 +3,8 @@
 Addresses are parsed into components and reduced to their distinct forms. Every form is
 compared with the forms of its blocks that are spelt in another, more usual way (number with postcode, with the sound of the street, with
 the city); the weights of the agreement levels, a missing part being a level of its own, are estimated by
-expectation-maximization over the counted level patterns. A form that is linked takes over the spelling of its best
-partner. What is left out is filled from the other forms of the same number, street and city; what contradicts keeps
+expectation-maximization over the counted level patterns. Forms linked over any
+number of links take over the most usual spelling among them. What is left out is filled from the other forms of the same number, street and city; what contradicts keeps
 places apart.
 """
 
@@ -190,7 +190,7 @@ def _city_spellings(cities: DataFrame) -> DataFrame:
 
 
 def _linked(forms: DataFrame, chance: list[dict[int, float]]) -> DataFrame:
-    """(form, street, city): for forms with a partner of a more usual spelling in one of their blocks, the partner's spelling."""
+    """(a_form, b_form): all accepted links of forms in one of their blocks; b has the more usual spelling."""
     usual = lambda p: F.struct(F.coalesce(p + "street_n", F.lit(0)), F.coalesce(p + "city_n", F.lit(0)), F.coalesce(p + "n_spelt", F.lit(0)))
     spelt = lambda p: F.concat_ws("|", F.coalesce(p + "street", F.lit("")), F.coalesce(p + "city", F.lit("")))
     leads = (usual("b_") > usual("a_")) | ((usual("b_") == usual("a_")) & (spelt("b_") < spelt("a_")))
@@ -201,14 +201,31 @@ def _linked(forms: DataFrame, chance: list[dict[int, float]]) -> DataFrame:
     names = list(levels)
     seen = compared.groupBy(*names).count().collect()  # at most 4 * 4 * 3^4 patterns
     if not seen:
-        return compared.select(F.col("a_form").alias("form"), F.col("b_street").alias("street"), F.col("b_city").alias("city"))
+        return compared.select("a_form", "b_form")
     post = linkage_weights(np.array([[r[n] for n in names] for r in seen]), np.array([float(r["count"]) for r in seen]), chance)
     weights = compared.sparkSession.createDataFrame([(*[int(r[n]) for n in names], float(p)) for r, p in zip(seen, post)], ", ".join(f"{n} int" for n in names) + ", weight double")
     scored = compared.join(F.broadcast(weights), names)
     # exact check: nothing may contradict
     fits = (c("l_type") != 0) & (c("l_dir") != 0) & (c("l_city") != 0) & ((c("l_street") > 0) | c("a_box").isNotNull()) & ((c("l_city") > 0) | (c("l_zip") == 1))
-    best = Window.partitionBy("a_form").orderBy(F.desc("weight"), F.desc("l_street"), F.desc("l_city"), F.desc("b_street_n"), F.desc("b_n"), "b_form")
-    return scored.filter(fits & (c("weight") >= 0.5)).withColumn("__r", F.row_number().over(best)).filter("__r = 1").select(F.col("a_form").alias("form"), F.col("b_street").alias("street"), F.coalesce("b_city", "a_city").alias("city"))
+    return scored.filter(fits & (c("weight") >= 0.5)).select("a_form", "b_form")
+
+
+def _leading(forms: DataFrame, links: DataFrame) -> DataFrame:
+    """(form, street, city): for linked forms, the most usual spelling among all that are linked with it, over any number of links."""
+    links = written(links, "address-links")
+    edges = written(links.select(F.col("a_form").alias("form"), F.col("b_form").alias("other")).unionByName(links.select(F.col("b_form").alias("form"), F.col("a_form").alias("other"))), "address-edges")
+    usual = F.struct(*[F.coalesce(x, F.lit(0)).alias(x) for x in ("street_n", "city_n", "n_spelt")], "street", "city")
+    own = forms.join(edges.select("form").distinct(), "form").select("form", usual.alias("lead"))
+    lead = written(own, "address-leads")
+    while True:  # every round carries the lead one link further
+        heard = edges.join(lead.withColumnRenamed("form", "other"), "other").groupBy("form").agg(F.max("lead").alias("heard"))
+        told = written(lead.join(heard, "form").select("form", F.greatest("lead", "heard").alias("lead"), (F.col("heard") > F.col("lead")).alias("moved")), "address-leads")
+        lead = told.drop("moved")
+        if told.filter("moved").isEmpty():
+            break
+    # a city that contradicts keeps a form with its own spelling
+    kept = lead.join(forms.select("form", F.col("city").alias("own_city")), "form").filter(_closeness(F.col("own_city"), F.col("lead.city")) != 0)
+    return kept.select("form", "lead.street", F.coalesce("lead.city", "own_city").alias("city"))
 
 
 def _filled(variants: list) -> list[tuple[str, str | None, str | None]]:
@@ -257,7 +274,7 @@ def link_addresses(rows: DataFrame, value: str) -> DataFrame:
     cities = forms.filter("city is not null").groupBy("city").agg(F.sum("n").alias("city_n"))
     forms = forms.join(streets, "street", "left").join(cities, "city", "left")
     forms = written(forms.withColumn("n_spelt", F.sum("n").over(Window.partitionBy("box", "number", "street", "city"))), "address-counts")
-    links = _linked(forms, chance_levels(forms))
+    links = _leading(forms, _linked(forms, chance_levels(forms)))
     links = links.withColumnRenamed("street", "street2").withColumnRenamed("city", "city2")
     spelt = forms.join(links, "form", "left").select("form", "n", "dir", "type", F.concat_ws("|", F.coalesce(F.concat(F.lit("box "), "box"), "number"), F.coalesce("street2", "street", F.lit("")), F.coalesce("city2", "city", F.lit(""))).alias("base"))
 

@@ -48,3 +48,10 @@ def test_a_misspelling_that_is_repeated(spark):
     df = spark.createDataFrame(list(enumerate([*right * 3, *wrong])), "id int, value string")
     ids = {r["value"]: r["place_id"] for r in link_addresses(df, "value").collect()}
     assert {ids[w] for w in wrong} == {ids[right[2]]} and len({ids[x] for x in right}) == len(right)
+
+
+def test_links_are_closed(spark):
+    base = [f"{n} N Galaphstead St, Dale, PA 10001" for n in range(10, 40)]
+    chain = ["50 N Galaphstaex St, Dale, PA 10001", "50 N Galaphstaed St, Dale, PA 10001", "50 N Galbphstaed St, Dale, PA 10001"]
+    ids = {r["value"]: r["place_id"] for r in link_addresses(spark.createDataFrame(list(enumerate([*base, *chain])), "id int, value string"), "value").collect()}
+    assert len({ids[x] for x in chain}) == 1 and len(set(ids.values())) == len(base) + 1
