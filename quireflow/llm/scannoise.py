@@ -2,23 +2,33 @@
 
 Running headers and footers are found by fuzzy repetition of lines at page edges, page numbers by their form, words
 with misread characters and words broken across lines by a vocabulary counted over the whole corpus. What remains is
-joined into paragraphs. The vocabulary that reaches the workers holds only words of at least MIN_SHARE of all words,
-so it never has more than 1 / MIN_SHARE entries, whatever the size of the corpus.
+joined into paragraphs. The vocabulary that reaches the workers holds only words of at least MIN_SHARE of all words
+and fits VOCABULARY_BYTES, whatever the size of the corpus. All verdicts depend on ratios of counts, so that they are
+the same for a corpus and for a thousand copies of it.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quireflow.session import written
 
 #: A word of the vocabulary makes up at least this share of all words: at most a million entries.
 MIN_SHARE = 1e-6
+#: Bytes the vocabulary may take when it is sent to the workers; a larger one is cut at a higher share.
+VOCABULARY_BYTES = 96 << 20
+#: A word that is not in the vocabulary counts as this share of all words, but at least as one.
+UNSEEN_SHARE = 1.6e-7
 #: A correction must be this many times as frequent as the word it corrects.
 RATIO = 25
 
@@ -28,7 +38,12 @@ CONFUSIONS = (
     ("li", "h"), ("rn", "m"), ("ii", "u"), ("9", "g"), ("6", "b"), ("ſ", "f"), ("ſ", "s"), ("vv", "w"), ("v", "y"), ("d", "cl"), ("6", "é"), ("6", "ó"), ("u", "ll"), ("m", "rn"), ("rm", "nn"), ("nn", "rm"),
     ("h", "b"), ("b", "h"), ("8", "b"), ("n", "ri"), ("u", "ii"), ("h", "li"), ("w", "vv"), ("y", "v"), ("l", "i"), ("i", "l"), ("0", "ö"), ("3", "e"), ("$", "s"), ("€", "e"), ("¢", "c"), ("tn", "m"), ("iii", "m"), ("in", "m"),
 )
+#: The confusions by the first character of what is read.
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _bad, _good in CONFUSIONS:
+    _BY_FIRST.setdefault(_bad[0], []).append((_bad, _good))
 _ODD = re.compile(r"[@0-9|(!ſ$€¢]")
+_ODD_INSIDE = re.compile(r"[^\W\d_]+[015|!6ſ][^\W\d_]*[a-zà-ÿ]{2}")
 _HYPHENS = "-­¬‐"
 _ENDS = frozenset(_HYPHENS)
 _BROKEN = re.compile(rf"[{_HYPHENS}] ?\n\s*")
@@ -40,6 +55,7 @@ _ROMAN = re.compile(r"(?=[ivxlc])(?:x{0,3}(?:ix|iv|v?i{0,3})|x?l?x{0,3})")
 _PAGE = re.compile(
     r"[-–—\[(|*]{0,2}\s*(?P<word>[^\W\d_]{1,8}(?:\.\s*|\s+))?(?:n[°ºo]\.?\s*)?(?P<n>[\dlIOoSB|!]{1,4}|[ivxlcIVXLC]{1,7})(?P<of>\s*(?:of|von|de|sur|di|из|/)\s*[\dlIOoSB|!]{1,4})?\s*[-–—\])|*]{0,2}"
 )
+_PAGE_ENDS = frozenset("0123456789dlIOoSB|!ivxlcIVXLC-–—])*")
 _PAGE_WORDS = ("page", "pag", "pág", "p", "pg", "s", "seite", "blatt", "folio", "fol", "página", "sheet", "стр", "страница", "hoja", "feuille", "feuillet", "leaf", "bl", "sida", "str")
 _MARK = re.compile(r"\s*(?:[-*•·▪◦‣–+]\s|[oO] (?=\w)|\(?\w{1,3}[.)]\s|\[[ xX]?\])")
 
@@ -47,48 +63,74 @@ _MARK = re.compile(r"\s*(?:[-*•·▪◦‣–+]\s|[oO] (?=\w)|\(?\w{1,3}[.)]\s
 def count_words(texts: DataFrame, text: str) -> DataFrame:
     """(word, n) over whole texts in lower case; words broken at line ends are left out."""
 
+    def words(tokens: Counter) -> pd.DataFrame:
+        found: Counter = Counter()
+        for token, n in tokens.items():
+            if token.isalpha():
+                found[token] += n
+            elif "\x00" not in token:
+                for w in _WORD.findall(token):
+                    found[w] += n
+        return pd.DataFrame(list(found.items()), columns=["word", "n"])
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for b in batches:
             for t in b[text]:
                 if t:
-                    low = _BROKEN.sub("\x00", t.lower())
-                    total.update(_WORD.findall(" ".join(w for w in low.split() if "\x00" not in w) if "\x00" in low else low))
+                    total.update(_BROKEN.sub("\x00", t.lower()).split())
             if len(total) > 400_000:
-                yield pd.DataFrame(list(total.items()), columns=["word", "n"])
+                yield words(total)
                 total.clear()
-        yield pd.DataFrame(list(total.items()), columns=["word", "n"])
+        yield words(total)
 
     return texts.select(text).mapInPandas(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(texts: DataFrame, text: str) -> dict[str, int]:
-    counts = count_words(texts, text).persist()
+def vocabulary(texts: DataFrame, text: str) -> tuple[dict[str, int], int]:
+    """(count by word, count of all words) of the corpus; the rarest words are left out (MIN_SHARE, VOCABULARY_BYTES)."""
+    counts = written(count_words(texts, text), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    table = {r["word"]: r["n"] for r in counts.filter(F.col("n") >= max(2.0, MIN_SHARE * total)).collect()}
-    counts.unpersist()
-    return table
+    least = max(2.0, MIN_SHARE * total)
+    while (counts.filter(F.col("n") >= least).agg(F.sum(F.octet_length("word") + 100)).first()[0] or 0) > VOCABULARY_BYTES:
+        least *= 2
+    return {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}, total
+
+
+class _Kinds(dict):
+    """Kind by token as it stands; tokens that are a misread word are in fixes too."""
+
+    def __init__(self, reader: Reader):
+        super().__init__()
+        self.reader = reader
+        self.fixes: dict[str, tuple[str, str]] = {}
+
+    def trim(self) -> None:
+        if len(self) > 400_000:
+            self.clear()
+            self.fixes.clear()
+
+    def __missing__(self, raw: str) -> int:
+        kind, bare, fix = self.reader.judge(raw)
+        if fix:
+            self.fixes[raw] = (bare, fix)
+        self[raw] = kind
+        return kind
 
 
 class Reader:
     """Judges words and lines against a vocabulary."""
 
-    def __init__(self, words: dict[str, int]):
+    def __init__(self, words: dict[str, int], total: int | None = None):
         self.words = words
         self.top = max(words.values(), default=0)
+        self.longest = max(map(len, words), default=0)
+        self.unseen = max(1.0, UNSEEN_SHARE * (sum(words.values()) if total is None else total))
         self.memo: dict[str, str | None] = {}
-        self.raw: dict[str, tuple[int, str, str | None]] = {}
+        self.kinds = _Kinds(self)
 
     def judge(self, raw: str) -> tuple[int, str, str | None]:
         """(1 for a known word, -1 for an unknown one, 0 for anything else; the bare token; its correction)."""
-        got = self.raw.get(raw)
-        if got is None:
-            if len(self.raw) > 400_000:
-                self.raw.clear()
-            got = self.raw[raw] = self._judge(raw)
-        return got
-
-    def _judge(self, raw: str) -> tuple[int, str, str | None]:
         w = raw.strip(_EDGE_SIGNS)
         low = w.lower()
         if not w or "|" in w and (re.search(r"[^\W\d_]{3}\|[^\W\d_]{3}", w) and not self._count(w.lower().replace("|", "i")) and not self._count(w.lower().replace("|", "l")) or w[0] == "|" or w[-1] == "|" or re.search(r"\d\||\|\d", w)):
@@ -118,39 +160,43 @@ class Reader:
         n = self._count(w)
         odd = _ODD.search(w) is not None
         letters = sum(c.isalpha() for c in w)
-        if letters < 2 or len(w) > 40 or (len(w) - letters > 3 and letters < len(w) - letters):
+        if letters < 2 or (len(w) - letters > 3 and letters < len(w) - letters):
+            return None
+        if len(w) > 2 * self.longest + 4:  # no two confusions make it a word, or a compound of two
             return None
         if odd and ("@" in w and "." in w or re.fullmatch(r"[A-Z]{1,4}[-/]?\d[\d\-/A-C]*", token)):
             return None
         if w[0] == "(":
             rest = self.words.get(w[1:], 0)
-            return "c" + w[1:] if ")" not in token and self.words.get("c" + w[1:], 0) >= max(4, RATIO * rest) else None
+            return "c" + w[1:] if ")" not in token and self.words.get("c" + w[1:], 0) >= max(4 * self.unseen, RATIO * rest) else None
         if not odd and (n * RATIO > self.top or len(w) < 3):
             return None
         best, best_n = None, 0
         tried = {w}
-        frontier = [w]
+        frontier, single = [w], []
+        get, compound = self.words.get, "-" in w
         for _ in range(2):  # one confusion, or two where the first alone gives no word
             found = []
             for x in frontier:
-                for bad, good in CONFUSIONS:
-                    at = x.find(bad)
-                    while at >= 0:
+                for at, c in enumerate(x):
+                    for bad, good in _BY_FIRST.get(c, ()):
+                        if len(bad) > 1 and not x.startswith(bad, at):
+                            continue
                         y = x[:at] + good + x[at + len(bad) :]
                         if y not in tried:
                             tried.add(y)
                             found.append(y)
-                            m = self._count(y)
-                            if m > best_n:
+                            m = get(y, 0) or (self._count(y) if compound else 0)
+                            if m > best_n or (m == best_n and best and y < best):
                                 best, best_n = y, m
-                        at = x.find(bad, at + 1)
-            if best or not odd or len(found) > 25:
+            single = single or found
+            if best or not odd:
                 break
             frontier = found
-        if best and (best_n >= 4 if odd and not n else best_n >= RATIO * max(n, 1) and best_n >= 10):
+        if best and best_n >= (4 * self.unseen if odd and not n else RATIO * max(n, self.unseen)):
             return best
-        if odd and not n and re.fullmatch(r"[^\W\d_]+[015|!6ſ][^\W\d_]*[a-zà-ÿ]{2}", token):
-            return next((y for y in tried if y != w and y.isalpha()), None)
+        if odd and not n and _ODD_INSIDE.fullmatch(token):
+            return next((y for y in single if y.isalpha()), None)
         return None
 
     def _count(self, w: str) -> int:
@@ -165,15 +211,16 @@ class Reader:
 
 
 _TAIL_NUMBER = re.compile(r"[\s|*·–—-]*(?:\b[\dlIO]{1,4}|\b[ivxl]{1,6})$")
+_NUMBERED = re.compile(r"[\s|]\s*(?:\d{1,4}|[ivxl]{1,6})$")
 _HEAD_NUMBER = re.compile(r"\d{1,4}\s*[|*·–—-]?\s+(?=\D)")
 
 
 def _norm(line: str) -> str:
     """A line without surrounding blanks, without the number of a page at its ends."""
     s = line
-    if s and (s[-1] in "0123456789lIOivx"):
+    if s[-1] in "0123456789lIOivx":
         s = _TAIL_NUMBER.sub("", s)
-    if s and s[0].isdigit():
+    if s[:1].isdigit():
         s = _HEAD_NUMBER.sub("", s, count=1)
     return s.lower().strip(" |*·-–—")
 
@@ -199,7 +246,9 @@ def _damaged(a: str, b: str) -> bool:
 
 def is_page_number(s: str) -> bool:
     """Whether a line without surrounding blanks holds only the number of a page."""
-    if not s or len(s) > 24:
+    if len(s) > 24:
+        s = " ".join(s.split())
+    if not s or len(s) > 40:  # longer than any match of the pattern
         return False
     m = _PAGE.fullmatch(s)
     if not m:
@@ -219,53 +268,64 @@ def is_page_number(s: str) -> bool:
 
 
 def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
-    """(running header and footing lines, page number lines) of one text."""
+    """(running header and footing lines, page number lines) of one text.
+
+    A group of recurring lines is furniture only if one of its lines stands at an edge of a page or of the text or recurs
+    undamaged but for a page's number. So groups are grown from those lines alone, but any line can be a member.
+    """
     bare = [x.strip(" \f\t") for x in lines]
     full = [i for i, x in enumerate(bare) if x]
-    numbers = {i for i in full if len(bare[i]) <= 24 and is_page_number(bare[i])}
-    norms = {i: _norm(bare[i]) for i in full if len(bare[i]) <= 52 and i not in numbers}
-    breaks = {i for i, x in enumerate(lines) if "\f" in x}
-    groups: list[list[int]] = []
+    numbers = {i for i in full if (x := bare[i])[-1] in _PAGE_ENDS and len(x) - x.count(" ") <= 40 and is_page_number(x)}
+    body = [i for i in full if i not in numbers]
+    breaks: set[int] = set()
+    for i, x in enumerate(lines):
+        if "\f" in x and (k := bisect.bisect_left(full, i)) < len(full):
+            breaks.add(full[k])
+    norms: dict[int, str] = {}
     by_norm: dict[str, list[int]] = {}
-    for i, s in norms.items():
+    for i in body:
+        s = _norm(bare[i])
         if len(s) >= 3:
+            norms[i] = s
             by_norm.setdefault(s, []).append(i)
-    heads = sorted(by_norm.items(), key=lambda kv: (-len(kv[1]), kv[1][0]))
-    body = [i for i in full if i not in numbers]
-    order = {i: k for k, i in enumerate(full)}
-
-    def edge(i: int) -> bool:
-        """Whether the line stands at a page's edge: a page break or a page number is next to it."""
-        k = order[i]
-        near = full[max(0, k - 1) : k + 2]
-        return any(j in breaks for j in (*near[:1], i, *near[-1:]) if j >= i) or any(j in numbers for j in near)
-
-    numbered = {i for i in norms if re.search(r"[\s|]\s*(?:\d{1,4}|[ivxl]{1,6})\s*$", lines[i])}
-    used: set[int] = set()
-    repeated = sum(len(v) > 1 for _, v in heads)
+    at_edge: set[int] = set()
+    for i in numbers | breaks:
+        k = bisect.bisect_left(full, i)
+        at_edge.update(full[max(0, k - 1) : k + (2 if i in numbers else 1)])
+    numbered = {i for i in norms if bare[i][-1] in "0123456789ivxl" and _NUMBERED.search(bare[i])}
+    first, last, top = set(full[:3]), set(full[-2:]), set(full[:2])
+    repeated = sum(len(v) > 1 for v in by_norm.values())
+    starts = at_edge | first | last
+    seeds = sorted(((s, at) for s, at in by_norm.items() if not starts.isdisjoint(at) or (len(at) > 1 and not numbered.isdisjoint(at))), key=lambda kv: (-len(kv[1]), kv[1][0]))
     # lines that are close share their first or their last two characters
-    alike: dict[tuple[int, str], list[str]] = {}
-    for s in by_norm:
-        alike.setdefault((0, s[:2]), []).append(s)
-        alike.setdefault((1, s[-2:]), []).append(s)
-    for s, at in heads:
+    heads: dict[str, list[str]] = {s[:2]: [] for s, _ in seeds}
+    tails: dict[str, list[str]] = {s[-2:]: [] for s, _ in seeds}
+    for s in by_norm if seeds else ():
+        if s[:2] in heads:
+            heads[s[:2]].append(s)
+        if s[-2:] in tails:
+            tails[s[-2:]].append(s)
+    groups: list[list[int]] = []
+    used: set[int] = set()
+    for s, at in seeds:
         if at[0] in used:
             continue
         # without a sign of pages only single characters may differ: sentences in which a word differs are no headers
-        paged = (len(heads) < len(norms) or breaks or len(numbers) > 1) and (len(at) > 1 or edge(at[0]) or order[at[0]] <= 1)
-        near = dict.fromkeys(t for t in (*alike[0, s[:2]], *alike[1, s[-2:]]) if -3 < len(t) - len(s) < 3 and _close(s, t) and (paged or _damaged(s, t)))
-        group = sorted(j for t in near for j in by_norm[t] if j not in used)
+        paged = (repeated or breaks or len(numbers) > 1) and (len(at) > 1 or at[0] in at_edge or at[0] in top)
+        low, high = len(s) - 3, len(s) + 3
+        near = {t for t in (*heads[s[:2]], *tails[s[-2:]]) if low < len(t) < high and t != s and _close(s, t) and (paged or _damaged(s, t))}
+        group = sorted(j for t in (s, *near) for j in by_norm[t] if j not in used)
         if len(group) > 1:
             groups.append(group)
             used.update(group)
     out: set[int] = set()
-    first, last = set(full[:3]), set(full[-2:])
-    wrapped = sum(len(lines[i]) >= 38 for i in body) * 2 >= len(body)
+    width = sorted(len(bare[i]) for i in body)[int(0.8 * (len(body) - 1))] if groups else 0
+    wrapped = len([i for i in body if len(lines[i]) >= 38]) * 2 >= len(body)
     for g in groups:
         text = lines[g[0]].strip(" \f\t")
         if _MARK.match(text) and not any(j in breaks for j in g):
             continue
-        edges = sum(edge(i) or i in first or i in last for i in g)
+        edges = sum(i in at_edge or i in first or i in last for i in g)
         counting = [int(m[1]) for i in g if (m := re.search(r"(\d{1,4})\s*$", lines[i]))]
         rising = len(counting) > 1 and len(set(counting)) == len(counting) and sorted(counting) == counting and counting[-1] - counting[0] < 4 * len(counting) + 4
         ends = sum(lines[i].rstrip()[-1:] in ".,;" for i in g) > len(g) / 2 and not text.endswith(("Co.", "Inc.", "Ltd."))
@@ -276,7 +336,8 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
         if cells:
             continue
         strong = (rising and bool(numbered & set(g))) or (edges * 3 >= 2 * len(g) and (breaks or numbers) and upper)
-        weak = upper and (g[0] in first or g[-1] in last) and wrapped and not text.endswith(":")
+        # without a sign of pages a line as wide as those of the body is a line of the body
+        weak = upper and (g[0] in first or g[-1] in last) and wrapped and not text.endswith(":") and (len(text) < 0.9 * width or len(g) > 2)
         entries = upper and g[0] in first and not wrapped and repeated <= 1 and not text.endswith(":")
         if strong or weak or entries:
             out.update(g)
@@ -286,14 +347,16 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
 def inspect(text: str, reader: Reader, repair: bool = True) -> tuple[list[tuple[int, str]], str | None]:
     """(noise as (line_no, kind), repaired text if wanted) of one text; junk has no noise and is returned unchanged."""
     lines = text.split("\n")
-    get, judge = reader.raw.get, reader.judge
-    judged = [[get(raw) or judge(raw) for raw in x.split()] for x in lines]
-    kinds = [v[0] for row in judged for v in row]
+    tokens = text.split()
+    reader.kinds.trim()
+    kinds = list(map(reader.kinds.__getitem__, tokens))
     good, bad = kinds.count(1), kinds.count(-1)
     if not good + bad:
         return [], text
-    distinct = len(set(text.split()))
-    same = sum(len(x) > 2 and x[0] == x[-1] and x.count(x[0]) == len(x) for x in lines)
+    tokens = set(tokens)
+    distinct = len(tokens)
+    fixes = {t: reader.kinds.fixes[t] for t in tokens if t in reader.kinds.fixes}
+    same = len([x for x in lines if len(x) > 2 and x[0] == x[-1] and x.count(x[0]) == len(x)])
     few = same * 4 >= len(lines) or (len(kinds) >= 8 and distinct <= 4 and distinct < 0.12 * len(kinds))
     known = good / (good + bad)
     if known < 0.5 or few or (known < 0.85 and len(_GLUED.findall(text)) > 0.15 * len(kinds)):
@@ -328,15 +391,16 @@ def inspect(text: str, reader: Reader, repair: bool = True) -> tuple[list[tuple[
             if fix:
                 ends_well = fix.startswith(a.lower())
                 found.append((j if ends_well else i, "misread"))
-    for i in body:
-        row = judged[i]
-        if not any(v[2] for v in row):
+    for i in body if fixes else ():
+        row = lines[i].split()
+        if fixes.keys().isdisjoint(row):
             continue
         skip_last, skip_first = halves.get(i, (False, False))
         bad = False
-        for n, (_, w, fix) in enumerate(row):
-            if fix and not (n == 0 and skip_first) and not (n == len(row) - 1 and skip_last):
+        for n, raw in enumerate(row):
+            if raw in fixes and not (n == 0 and skip_first) and not (n == len(row) - 1 and skip_last):
                 bad = True
+                w, fix = fixes[raw]
                 fixed[i] = fixed[i].replace(w, _cased(w, fix), 1)
         if bad:
             found.append((i, "misread"))
@@ -406,22 +470,6 @@ def _paragraphs(lines: list[str], body: list[int], fixed: dict[int, str], glue:
     return "\n".join(out)
 
 
-def _read(texts: DataFrame, text: str, keep: list[str], repair: bool) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary(texts, text))
-
-    @F.pandas_udf("noise array<struct<line_no:int,noise_kind:string>>, repaired string")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value)
-        for b in batches:
-            rows = []
-            for t in b:
-                noise, fixed = inspect(t, reader, repair) if t else ([], t)
-                rows.append(([{"line_no": i, "noise_kind": k} for i, k in noise], fixed))
-            yield pd.DataFrame(rows, columns=["noise", "repaired"])
-
-    return texts.select(*keep, F.when(F.col(text).isNotNull(), read(F.col(text))).alias("__qf_r"))
-
-
 def find_scan_noise(texts: DataFrame, text: str) -> DataFrame:
     """One row per line of a text and kind of noise in it: the columns of texts but text, line_no and noise_kind.
 
@@ -429,8 +477,23 @@ def find_scan_noise(texts: DataFrame, text: str) -> DataFrame:
     are replaced.
     """
     keep = [c for c in texts.columns if c.lower() not in ("line_no", "noise_kind") and c != text]
-    noise = _read(texts, text, keep, False).select(*keep, F.explode("__qf_r.noise").alias("__qf_n"))
-    return noise.select(*keep, "__qf_n.line_no", "__qf_n.noise_kind")
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary(texts, text))
+
+    def noisy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(*shared.value)
+        for b in batches:
+            rows, at, kinds = [], [], []
+            for row, t in enumerate(b.column(0).to_pylist()):
+                for i, kind in inspect(t, reader, False)[0] if t else ():
+                    rows.append(row)
+                    at.append(i)
+                    kinds.append(kind)
+            kept = b.take(pa.array(rows, pa.int32())).columns[1:]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int32()), pa.array(kinds, pa.string())], [*keep, "line_no", "noise_kind"])
+
+    found = texts.select(F.col(text).alias("__qf_text"), *keep)
+    schema = T.StructType([*texts.select(*keep).schema.fields, T.StructField("line_no", T.IntegerType()), T.StructField("noise_kind", T.StringType())])
+    return found.filter(F.length("__qf_text") > 0).mapInArrow(noisy, schema)
 
 
 def repair_scans(texts: DataFrame, text: str) -> DataFrame:
@@ -440,5 +503,17 @@ def repair_scans(texts: DataFrame, text: str) -> DataFrame:
     columns of the two names are replaced.
     """
     keep = [c for c in texts.columns if c.lower() not in ("scan_noise", "scan_repaired")]
-    out = _read(texts, text, keep, True)
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary(texts, text))
+
+    @F.pandas_udf("noise array<struct<line_no:int,noise_kind:string>>, repaired string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        reader = Reader(*shared.value)
+        for b in batches:
+            rows = []
+            for t in b:
+                noise, fixed = inspect(t, reader) if t else ([], t)
+                rows.append(([{"line_no": i, "noise_kind": k} for i, k in noise], fixed))
+            yield pd.DataFrame(rows, columns=["noise", "repaired"])
+
+    out = texts.select(*keep, F.when(F.col(text).isNotNull(), read(F.col(text))).alias("__qf_r"))
     return out.select(*keep, F.col("__qf_r.noise").alias("scan_noise"), F.col("__qf_r.repaired").alias("scan_repaired"))

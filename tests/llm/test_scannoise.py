@@ -50,3 +50,30 @@ def test_a_header_that_stands_twice_once_damaged():
     for a, b in (("Schedule.B (continued)", "Schedule B (continued)"), ("Printed 06.10.2016", "Pricted 06.10.2016"), ("Toner cartridge Register 2019", "Toner .artridge Register 2019")):
         assert furniture([a, *body, b, *more])[0] == {0, 4}
     assert furniture(["Please note that the copy is dated and signed", *body, "Please note that the copy is burned and signed", *more])[0] == set()
+
+
+def test_a_long_header():
+    head = "Consolidated register of deliveries and returns of the northern reading rooms"
+    text = iter(("the tax on it comes to what includes the note but", "signed for all that was forwarded under a cover of", "handwritten pages are legible but separate from it", "layout and footnote were read by another of the two", "department heads do ask for a copy of every letter", "neither of them was there when the box came back in", "some weeks later it was found behind a cabinet with", "registers of an older kind, bound in green leather,", "which nobody had opened since the move of the rooms", "into the cellar, where they have been kept dry ever"))
+    lines = [x for n in range(5) for x in (("\f" if n else "") + head.replace("deliveries", "delivcries" if n == 2 else "deliveries"), next(text), next(text), f"- {n + 1} -")]
+    assert len(head) > 70
+    assert furniture(lines) == ({0, 4, 8, 12, 16}, {3, 7, 11, 15, 19})
+
+
+def test_verdicts_are_the_same_for_a_thousand_copies():
+    counts = {"the": 900_000, "department": 3000, "for": 60_000, "tor": 170, "reader": 900, "comes": 800, "note": 700}
+    tokens = ["departrnent", "departm3nt", "tor", "rcader", "notc", "c0mes", "unseenword"]
+    verdicts = [[Reader({w: n * k for w, n in counts.items()}, 7_000_000 * k).judge(t) for t in tokens] for k in (1, 1000)]
+    assert verdicts[0] == verdicts[1] and [v[2] for v in verdicts[0]] == ["department", "department", "for", "reader", "note", "comes", None]
+
+
+def test_furniture_of_a_long_text_is_not_quadratic():
+    import time
+
+    took = []
+    for pages in (400, 1600):
+        lines = [x for n in range(pages) for x in (f"\fRegister {n % 7} of the north | {n}", *(f"entry {n * 31 + k} of the reading room number {k * 17 + n}" for k in range(18)))]
+        t = time.process_time()
+        assert len(furniture(lines)[0]) >= pages
+        took.append(time.process_time() - t)
+    assert took[1] < 10 * took[0] + 0.5
