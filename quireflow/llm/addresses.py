@@ -1,11 +1,10 @@
 """Deciding which postal addresses denote the same place.
 
-Addresses are parsed into components and reduced to their distinct forms. Every form is
-compared with the forms of its blocks that are spelt in another, more usual way (number with postcode, with the sound of the street, with
-the city); the weights of the agreement levels, a missing part being a level of its own, are estimated by
-expectation-maximization over the counted level patterns. Forms linked over any
-number of links take over the most usual spelling among them. What is left out is filled from the other forms of the same number, street and city; what contradicts keeps
-places apart.
+Addresses are parsed into components and reduced to their distinct forms. Forms that share a block (number with
+postcode, with city, with the sound of the street) are compared part by part; the weights of the agreement levels, a
+missing part being a level of its own, are estimated by expectation-maximization over the counted level patterns. Every
+form is linked with the likeliest of the forms that have more parts or, with as many, more rows, if a match is likelier
+than not and nothing contradicts; the chains of links lead to one form of a place.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quireflow.session import written
 
@@ -27,14 +25,31 @@ STREET_TYPES = {
 }
 DIRECTIONS = {"n": "north nth n", "s": "south sth s", "e": "east e est", "w": "west wst w"}
 STATES = "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc".split()
-ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split()
+ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
-#: A city this many times as frequent as one a typing error away is meant by it.
-RATIO = 25
+#: Blocks are divided among tasks by so many forms.
+BLOCK_ROWS = 2000
+#: How many observations random pairs count for in the probabilities of non-matches.
+CHANCE_WEIGHT = 1000.0
 
 _TYPE = {w: k for k, ws in STREET_TYPES.items() for w in ws.split()}
 _DIR = {w: k for k, ws in DIRECTIONS.items() for w in ws.split()}
-_ORD = {w: f"{i}{'st' if i == 1 else 'nd' if i == 2 else 'rd' if i == 3 else 'th'}" for i, w in enumerate(ORDINALS, 1)}
+
+
+def _ordinals() -> dict[str, str]:
+    """Ordinal words to 99 -> 1st, 2nd, ...; compounds as one word, with a hyphen and without."""
+    out = {w: i for i, w in enumerate(ORDINALS, 1)}
+    for t, ten in enumerate(TENS, 2):
+        out[ten[:-1] + "ieth"] = 10 * t
+        for i, w in enumerate(ORDINALS[:9], 1):
+            out[f"{ten}-{w}"] = out[ten + w] = 10 * t + i
+    ends = {1: "st", 2: "nd", 3: "rd"}
+    return {w: f"{i}{'th' if i in (11, 12, 13) else ends.get(i % 10, 'th')}" for w, i in out.items()}
+
+
+_ORD = _ordinals()
+
 _ZIP = re.compile(r"(?<![\d-])(\d{5})(?:-\d{4})?(?![\d-])")
 _BOX = re.compile(r"\b(?:p\.? ?o\.? ?box|post office box|pob|box)[ .#]*(\d+)")
 _UNIT = re.compile(r"(?:\b(?:apartment|apt|unit|suite|ste|floor|fl|room|rm)\b\.? ?#?|# ?)\w{1,5}\b")
@@ -116,33 +131,42 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), -1).when(a == b, 1).otherwise(0)
 
 
-def linkage_weights(patterns: np.ndarray, counts: np.ndarray, chance: list[dict[int, float]], rounds: int = 50) -> np.ndarray:
-    """Posterior of a match per level pattern: Fellegi-Sunter model fitted by expectation-maximization.
+def linkage_weights(patterns: np.ndarray, counts: np.ndarray, chance: list[dict[int, float]], rounds: int = 100) -> np.ndarray:
+    """Log odds of a match per level pattern: Fellegi-Sunter model fitted by expectation-maximization.
 
-    chance has, for each component, how often two forms picked at random reach a level; these probabilities of
-    non-matches stay as they are, those of matches and the share of matches are learned.
+    chance has, for each component, how often two forms picked at random reach a level: the start, and CHANCE_WEIGHT
+    observations' worth of prior, for the probabilities of non-matches. Those of matches and the share of matches are
+    learned from the compared pairs alone. A missing value is a level like any other.
     """
     k = patterns.shape[1]
     levels = [sorted(set(patterns[:, j])) for j in range(k)]
-    agree = np.array([[1.0 if v > 0 else 0.5 if v < 0 else 0.05 for v in row] for row in patterns]).prod(axis=1)
+    agree = np.array([[1.0 if v > 0 else 0.6 if v < 0 else 0.05 for v in row] for row in patterns]).prod(axis=1)
     post = np.clip(agree, 0.02, 0.98)
+    odds = np.zeros(len(patterns))
     for _ in range(rounds):
-        w = post * counts
+        w, v = post * counts, (1 - post) * counts
         prior = np.clip((w.sum() + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6)
-        log = np.full(len(patterns), np.log(prior) - np.log(1 - prior))
+        odds = np.full(len(patterns), np.log(prior) - np.log(1 - prior))
         for j in range(k):
             for level in levels[j]:
                 hit = patterns[:, j] == level
                 m = (w[hit].sum() + 0.5) / (w.sum() + 0.5 * len(levels[j]))
-                log[hit] += np.log(m) - np.log(chance[j].get(level, 1e-4))
-        post = 1 / (1 + np.exp(-np.clip(log, -60, 60)))
-    return post
+                u = (v[hit].sum() + CHANCE_WEIGHT * chance[j].get(level, 1e-4)) / (v.sum() + CHANCE_WEIGHT)
+                odds[hit] += np.log(m) - np.log(u)
+        new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        if np.abs(new - post).max() < 1e-9:
+            break
+        post = new
+    return odds
 
 
 def _levels() -> dict[str, Column]:
     c = F.col
+    # the number of a post box stands for its street
+    boxed = c("a_box").isNotNull() | c("b_box").isNotNull()
+    place = F.when(boxed, F.when(c("a_box") == c("b_box"), 2).otherwise(0)).otherwise(_closeness(c("a_street"), c("b_street")))
     return {
-        "l_street": _closeness(c("a_street"), c("b_street")), "l_city": _closeness(c("a_city"), c("b_city")), "l_zip": _agreement(c("a_zip"), c("b_zip")),
+        "l_street": place, "l_city": _closeness(c("a_city"), c("b_city")), "l_zip": _agreement(c("a_zip"), c("b_zip")),
         "l_type": _agreement(c("a_type"), c("b_type")), "l_dir": _agreement(c("a_dir"), c("b_dir")), "l_state": _agreement(c("a_state"), c("b_state")),
     }
 
@@ -164,130 +188,139 @@ def chance_levels(forms: DataFrame) -> list[dict[int, float]]:
     return out
 
 
-def _keys(f: DataFrame, prefix: str) -> DataFrame:
+def _block_keys() -> Column:
+    """Blocks of a form: its number or box with the postcode, with the city, with the first or last letters of street and city."""
     no = F.coalesce(F.concat(F.lit("b"), "box"), "number")
-    keys = F.array(
-        F.concat_ws("|", no, F.lit("z"), "zip"), F.concat_ws("|", no, F.lit("s"), F.when(F.col("street").isNotNull(), F.soundex("street"))), F.concat_ws("|", no, F.lit("c"), "city"),
-    )
-    present = F.array(F.col("zip").isNotNull(), F.col("street").isNotNull(), F.col("city").isNotNull())
-    usable = F.transform(F.filter(F.arrays_zip(keys.alias("k"), present.alias("p")), lambda x: x["p"]), lambda x: x["k"])
-    return f.select(F.explode(usable).alias("key"), *[F.col(c).alias(prefix + c) for c in f.columns])
-
-
-def _city_spellings(cities: DataFrame) -> DataFrame:
-    """(city, city_as): for cities spelt once or twice or 1 / RATIO as often, the usual city a typing error away, blocked on parts of the name."""
-
-    def blocks(f: DataFrame) -> DataFrame:
-        c = F.col("city")
-        keys = F.array(F.concat(F.lit("a"), F.substring(c, 1, 4)), F.concat(F.lit("z"), F.substring(c, -4, 4)), F.concat(F.lit("s"), F.soundex(c)))
-        return f.select("city", "n", F.explode(F.array_distinct(keys)).alias("key"))
-
-    usual = (F.col("b.n") >= 3) & ((F.col("a.n") < 3) | (F.col("b.n") >= RATIO * F.col("a.n")))
-    pairs = blocks(cities).alias("a").join(blocks(cities.filter("n >= 3")).alias("b"), "key").filter(usual).select(F.col("a.city"), F.col("b.city").alias("city_as"), F.col("b.n").alias("n"))
-    near = pairs.withColumn("d", F.levenshtein("city", "city_as")).filter((F.col("d") <= 2) & (F.col("d") * 4 <= F.length("city")))
-    best = Window.partitionBy("city").orderBy("d", F.desc("n"), "city_as")
-    return near.withColumn("__r", F.row_number().over(best)).filter("__r = 1").select("city", "city_as")
-
-
-def _linked(forms: DataFrame, chance: list[dict[int, float]]) -> DataFrame:
-    """(a_form, b_form): all accepted links of forms in one of their blocks; b has the more usual spelling."""
-    usual = lambda p: F.struct(F.coalesce(p + "street_n", F.lit(0)), F.coalesce(p + "city_n", F.lit(0)), F.coalesce(p + "n_spelt", F.lit(0)))
-    spelt = lambda p: F.concat_ws("|", F.coalesce(p + "street", F.lit("")), F.coalesce(p + "city", F.lit("")))
-    leads = (usual("b_") > usual("a_")) | ((usual("b_") == usual("a_")) & (spelt("b_") < spelt("a_")))
-    pairs = _keys(forms, "a_").join(_keys(forms, "b_"), "key").filter((spelt("a_") != spelt("b_")) & leads).drop("key").dropDuplicates(["a_form", "b_form"])
+    street, city = F.coalesce("street", F.lit("-")), F.col("city").isNotNull()
+    def ends(kind: str, a: int, b: int) -> Column:
+        return F.when(city, F.concat_ws("|", F.lit(kind), no, F.substring(street, a, 2), F.substring("city", b, 2)))
+
+    keys = [F.when(F.col("zip").isNotNull(), F.concat_ws("|", F.lit("z"), no, "zip")), F.when(city, F.concat_ws("|", F.lit("c"), no, "city")), ends("f", 1, 1), ends("l", -2, -2), ends("m", -2, 1)]
+    return F.array_compact(F.array(*keys))
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows with one block key; blocks of more than BLOCK_ROWS rows on the right are divided among tasks."""
+    sizes = right.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK_ROWS).select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("salts"))
+    a = left.join(sizes, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    b = right.join(sizes, "key", "left").withColumn("salt", F.pmod(F.xxhash64("b_form"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return a.join(b, ["key", "salt"]).drop("salt")
+
+
+def candidate_pairs(forms: DataFrame) -> DataFrame:
+    """Pairs (a_..., b_...) of different forms that share a block; every pair comes once, from the first block both are in.
+
+    Forms without a city are compared with all forms of their number and street sound; forms with one only with those
+    whose postcode or city is the same or whose street and city have equal ends.
+    """
+    c = F.col
+
+    def side(f: DataFrame, prefix: str, key: Column) -> DataFrame:
+        return f.select(key.alias("key"), *[c(x).alias(prefix + x) for x in f.columns])
+
+    same = lambda x: c("a_" + x).eqNullSafe(c("b_" + x)) & c("a_" + x).isNotNull()
+    sound = F.concat_ws("|", F.coalesce(F.concat(F.lit("b"), "box"), "number"), F.soundex("street"))
+    kind = F.substring("key", 1, 1)
+
+    def ends(a: int, b: int) -> Column:
+        two = lambda p: F.concat_ws("|", F.substring(F.coalesce(p + "street", F.lit("-")), a, 2), F.substring(p + "city", b, 2))
+        return two("a_") == two("b_")
+
+    first = (kind == "z") | ~same("zip") & ((kind == "c") | ~same("city") & ((kind == "f") | ~ends(1, 1) & ((kind == "l") | ~ends(-2, -2))))
+    blocked = _joined(side(forms, "a_", F.explode(_block_keys())), side(forms, "b_", F.explode(_block_keys()))).filter((c("a_form") < c("b_form")) & first).drop("key")
+    streets = forms.filter("street is not null")
+    loose = _joined(side(streets.filter("city is null"), "a_", sound), side(streets, "b_", sound)).filter((c("a_form") != c("b_form")) & ~same("zip") & (c("b_city").isNotNull() | (c("a_form") < c("b_form")))).drop("key")
+    return blocked.unionByName(loose)
+
+
+def _links(forms: DataFrame, chance: list[dict[int, float]]) -> DataFrame:
+    """(form, lead, weight, rank): pairs whose weight makes a match likelier than not; rank is that of lead.
+
+    lead has more known parts or, with as many, more rows. As an exact check after the weights, street, direction and type may not
+    contradict; whether cities that differ are one is left to the weights.
+    """
     c = F.col
     levels = _levels()
-    compared = written(pairs.select("a_form", "b_form", "a_box", "a_street", "a_city", "b_street", "b_city", "b_n", "b_street_n", *[v.alias(k) for k, v in levels.items()]), "address-pairs")
+    rank = lambda p: F.struct(*[c(p + x).isNotNull().cast("int").alias(x) for x in ("type", "dir", "city")], c(p + "n").alias("n"), c(p + "form").alias("form"))
+    pairs = candidate_pairs(forms).withColumns({"a_rank": rank("a_"), "b_rank": rank("b_")})
+    compared = written(pairs.select("a_form", "b_form", "a_rank", "b_rank", *[v.alias(k) for k, v in levels.items()]), "address-pairs")
     names = list(levels)
     seen = compared.groupBy(*names).count().collect()  # at most 4 * 4 * 3^4 patterns
-    if not seen:
-        return compared.select("a_form", "b_form")
-    post = linkage_weights(np.array([[r[n] for n in names] for r in seen]), np.array([float(r["count"]) for r in seen]), chance)
-    weights = compared.sparkSession.createDataFrame([(*[int(r[n]) for n in names], float(p)) for r, p in zip(seen, post)], ", ".join(f"{n} int" for n in names) + ", weight double")
+    odds = linkage_weights(np.array([[r[n] for n in names] for r in seen]), np.array([float(r["count"]) for r in seen]), chance) if seen else []
+    weights = compared.sparkSession.createDataFrame([(*[int(r[n]) for n in names], float(p)) for r, p in zip(seen, odds)], ", ".join(f"{n} int" for n in names) + ", weight double")
     scored = compared.join(F.broadcast(weights), names)
-    # exact check: nothing may contradict
-    fits = (c("l_type") != 0) & (c("l_dir") != 0) & (c("l_city") != 0) & ((c("l_street") > 0) | c("a_box").isNotNull()) & ((c("l_city") > 0) | (c("l_zip") == 1))
-    return scored.filter(fits & (c("weight") >= 0.5)).select("a_form", "b_form")
-
-
-def _leading(forms: DataFrame, links: DataFrame) -> DataFrame:
-    """(form, street, city): for linked forms, the most usual spelling among all that are linked with it, over any number of links."""
-    links = written(links, "address-links")
-    edges = written(links.select(F.col("a_form").alias("form"), F.col("b_form").alias("other")).unionByName(links.select(F.col("b_form").alias("form"), F.col("a_form").alias("other"))), "address-edges")
-    usual = F.struct(*[F.coalesce(x, F.lit(0)).alias(x) for x in ("street_n", "city_n", "n_spelt")], "street", "city")
-    own = forms.join(edges.select("form").distinct(), "form").select("form", usual.alias("lead"))
-    lead = written(own, "address-leads")
-    while True:  # every round carries the lead one link further
-        heard = edges.join(lead.withColumnRenamed("form", "other"), "other").groupBy("form").agg(F.max("lead").alias("heard"))
-        told = written(lead.join(heard, "form").select("form", F.greatest("lead", "heard").alias("lead"), (F.col("heard") > F.col("lead")).alias("moved")), "address-leads")
-        lead = told.drop("moved")
-        if told.filter("moved").isEmpty():
-            break
-    # a city that contradicts keeps a form with its own spelling
-    kept = lead.join(forms.select("form", F.col("city").alias("own_city")), "form").filter(_closeness(F.col("own_city"), F.col("lead.city")) != 0)
-    return kept.select("form", "lead.street", F.coalesce("lead.city", "own_city").alias("city"))
+    fits = (c("l_type") != 0) & (c("l_dir") != 0) & (c("l_street") > 0)
+    top = F.greatest("a_rank", "b_rank")
+    links = scored.filter((c("weight") > 0) & fits).select(F.least("a_rank", "b_rank")["form"].alias("form"), top["form"].alias("lead"), F.round("weight", 6).alias("weight"), top.alias("rank"))
+    return written(links, "address-links")
 
 
-def _filled(variants: list) -> list[tuple[str, str | None, str | None]]:
-    """For the few (dir, type, n) of one number, street and city: which full (dir, type) each stands for."""
-    items = [(v["dir"], v["type"], v["n"]) for v in variants]
-    full = sorted([v for v in items if v[0] and v[1]], key=lambda v: (-v[2], v[0], v[1]))
-    dirs = sorted({v[0] for v in items if v[0]}, key=lambda d: (-sum(v[2] for v in items if v[0] == d), d))
-    kinds = sorted({v[1] for v in items if v[1]}, key=lambda k: (-sum(v[2] for v in items if v[1] == k), k))
-    out = []
-    for d, k, _ in items:
-        fit = next((v for v in full if (d is None or v[0] == d) and (k is None or v[1] == k)), None)
-        if fit:
-            out.append((f"{d}|{k}", fit[0], fit[1]))
-            continue
-        # no full one: a type without direction is a place of its own where others have another type
-        typed = [v for v in items if v[1] and (d is None or v[0] in (None, d))]
-        k2 = k or (max(typed, key=lambda v: (v[2], v[1]))[1] if typed else (kinds[0] if kinds else None))
-        d2 = d or next((v[0] for v in full if v[1] == k2), None) or (dirs[0] if dirs and not full and len(kinds) <= 1 else None)
-        out.append((f"{d}|{k}", d2, k2))
-    return out
+def _roots(forms: DataFrame, links: DataFrame) -> DataFrame:
+    """(form, root) for all forms: the end of the chain of likeliest leads, by pointer jumping (a written table a round, log of the longest chain)."""
+    parents = links.groupBy("form").agg(F.max_by("lead", F.struct("weight", "rank")).alias("parent"))
+    at = written(forms.select("form").join(parents, "form", "left").select("form", F.coalesce("parent", "form").alias("root")), "address-roots")
+    while True:
+        up = at.select(F.col("form").alias("root"), F.col("root").alias("next"))
+        jumped = written(at.join(up, "root").select("form", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "address-roots")
+        at = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            return at
+
+
+def _bridged(forms: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, merged): roots that any accepted link connects, over any number of links, become one if their parts are the same.
+
+    So two spellings too far apart for a link of their own are one place by a third between them; direction and type
+    must be equal, so that a form that leaves them out never joins places that differ in them.
+    """
+    c = F.col
+    ends = links.select("form", "lead").join(roots, "form").select("lead", c("root").alias("x")).join(roots.withColumnRenamed("form", "lead"), "lead").select("x", c("root").alias("y")).filter("x <> y").distinct()
+    parts = lambda p: forms.select(c("form").alias(p), *[c(x).alias(f"{p}_{x}") for x in ("dir", "type", "city")])
+    alike = c("x_dir").eqNullSafe(c("y_dir")) & c("x_type").eqNullSafe(c("y_type")) & (_closeness(c("x_city"), c("y_city")) != 0)
+    pairs = written(ends.join(parts("x"), "x").join(parts("y"), "y").filter(alike).select("x", "y"), "address-bridges")
+    edges = written(pairs.unionByName(pairs.select(c("y").alias("x"), c("x").alias("y"))).distinct(), "address-edges")
+    label = written(edges.select("x").distinct().select("x", c("x").alias("merged")), "address-labels")
+    while True:  # every round carries the least label one link further
+        heard = edges.join(label.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("merged").alias("heard"))
+        told = written(label.join(heard, "x").select("x", F.least("merged", "heard").alias("merged"), (c("heard") < c("merged")).alias("moved")), "address-labels")
+        label = told.drop("moved")
+        if told.filter("moved").isEmpty():
+            return label.withColumnRenamed("x", "root")
 
 
 def link_addresses(rows: DataFrame, value: str) -> DataFrame:
     """Adds place_id (string) to every row; equal ids are the same place.
 
     Null and empty values and texts without a house or box number get a null id. Rows are neither dropped nor
-    repeated; repeated values get the same id. A column named place_id is replaced.
+    repeated; repeated values get the same id, and how often a value is repeated changes no link. A column named
+    place_id is replaced.
     """
 
     @F.pandas_udf(_SCHEMA)
     def parsed(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(v) if v else (None,) * len(PARTS) for v in values], columns=list(PARTS))
 
-    keep = [c for c in rows.columns if c.lower() != "place_id"]
-    values = rows.select(F.col(value).alias("__qf_v")).filter(F.length("__qf_v") > 0).groupBy("__qf_v").agg(F.count("*").alias("n"))
+    c = F.col
+    keep = [x for x in rows.columns if x.lower() != "place_id"]
+    values = rows.select(c(value).alias("__qf_v")).filter(F.length("__qf_v") > 0).groupBy("__qf_v").agg(F.count("*").alias("n"))
     texts = written(values.select("__qf_v", "n", parsed("__qf_v").alias("p")).select("__qf_v", "n", "p.*").filter("box is not null or (number is not null and street is not null)"), "address-texts")
+    # the city most rows of a postcode name stands in for one that is left out or a typing error away
     zips = texts.filter("zip is not null and city is not null").groupBy("zip", "city").agg(F.sum("n").alias("n"))
-    of_zip = zips.withColumn("__r", F.row_number().over(Window.partitionBy("zip").orderBy(F.desc("n"), "city"))).filter("__r = 1 and n > 1").select("zip", F.col("city").alias("zip_city"))
-    filled = texts.join(of_zip, "zip", "left").withColumn("city", F.when(F.col("city").isNull() | (_closeness(F.col("city"), F.col("zip_city")) == 1), F.coalesce("zip_city", "city")).otherwise(F.col("city"))).drop("zip_city")
-    respelt = _city_spellings(written(filled.filter("city is not null").groupBy("city").agg(F.sum("n").alias("n")), "address-cities"))
-    filled = filled.join(respelt, "city", "left").withColumn("city", F.coalesce("city_as", "city")).drop("city_as")
-    filled = filled.withColumn("form", F.xxhash64(*PARTS))
+    of_zip = zips.groupBy("zip").agg(F.max_by("city", F.struct("n", "city")).alias("zip_city"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("most * 2 > all").select("zip", "zip_city")
+    city = F.when(c("city").isNull() | (_closeness(c("city"), c("zip_city")) == 1), F.coalesce("zip_city", "city")).otherwise(c("city"))
+    filled = texts.join(of_zip, "zip", "left").withColumn("city", city).withColumn("form", F.xxhash64(*PARTS))
     by_text = written(filled.select("__qf_v", "form", "n", *PARTS), "address-forms")
-    forms = by_text.groupBy("form", *PARTS).agg(F.sum("n").alias("n"))
-    streets = forms.filter("street is not null").groupBy("street").agg(F.sum("n").alias("street_n"))
-    cities = forms.filter("city is not null").groupBy("city").agg(F.sum("n").alias("city_n"))
-    forms = forms.join(streets, "street", "left").join(cities, "city", "left")
-    forms = written(forms.withColumn("n_spelt", F.sum("n").over(Window.partitionBy("box", "number", "street", "city"))), "address-counts")
-    links = _leading(forms, _linked(forms, chance_levels(forms)))
-    links = links.withColumnRenamed("street", "street2").withColumnRenamed("city", "city2")
-    spelt = forms.join(links, "form", "left").select("form", "n", "dir", "type", F.concat_ws("|", F.coalesce(F.concat(F.lit("box "), "box"), "number"), F.coalesce("street2", "street", F.lit("")), F.coalesce("city2", "city", F.lit(""))).alias("base"))
-
-    @F.pandas_udf("array<struct<v:string,dir:string,type:string>>")
-    def fill(groups: pd.Series) -> pd.Series:
-        return pd.Series([[{"v": v, "dir": d, "type": k} for v, d, k in _filled(list(g))] for g in groups])
-
-    kinds = spelt.groupBy("base", "dir", "type").agg(F.sum("n").alias("n")).groupBy("base").agg(F.collect_list(F.struct("dir", "type", "n")).alias("vs"))  # at most 5 * 18 variants a group
-    variants = kinds.select("base", F.explode(fill("vs")).alias("f")).select("base", "f.v", F.col("f.dir").alias("dir2"), F.col("f.type").alias("type2"))
-    own = F.concat(F.coalesce("dir", F.lit("None")), F.lit("|"), F.coalesce("type", F.lit("None")))
-    places = spelt.withColumn("v", own).join(variants, ["base", "v"]).select("form", F.concat_ws("|", "base", F.coalesce("dir2", F.lit("")), F.coalesce("type2", F.lit(""))).alias("place_id"))
+    forms = written(by_text.groupBy("form", *PARTS).agg(F.sum("n").alias("n")), "address-counts")
+    links = _links(forms, chance_levels(forms))
+    roots = _roots(forms, links)
+    roots = roots.join(_bridged(forms, links, roots), "root", "left").select("form", F.coalesce("merged", "root").alias("root"))
+    # exact check: what contradicts the root of its chain is a place of its own
+    root = forms.select(c("form").alias("root"), *[c(x).alias("r_" + x) for x in PARTS])
+    part = lambda x: F.coalesce(x, "r_" + x, F.lit(""))
+    name = F.concat_ws("|", F.coalesce(F.concat(F.lit("box "), "r_box"), "r_number"), F.coalesce("r_street", F.lit("")), part("dir"), part("type"), F.coalesce("r_city", F.lit("")), F.hex("root"))
+    places = forms.select("form", "dir", "type").join(roots, "form").join(root, "root").select("form", name.alias("place_id"))
     ids = written(by_text.select("__qf_v", "form").join(places, "form").select("__qf_v", "place_id"), "address-places")
-    return rows.select(*keep).join(ids, F.col(value) == F.col("__qf_v"), "left").select(*[rows[c] for c in keep], "place_id")
+    return rows.select(*keep).join(ids, F.col(value) == F.col("__qf_v"), "left").select(*[rows[x] for x in keep], "place_id")
 
 
 def same_place_pairs(places: DataFrame, key: str) -> DataFrame:
