@@ -1,13 +1,16 @@
 """Text statistics and text types: natural prose, list, table or junk.
 
-The statistics are counts of regular expressions over whole texts. Thresholds on them are noisy labelling functions,
-each voting for one type or abstaining; their accuracies are learned by expectation-maximization on how often they
-agree, over the counted vote patterns of all texts, and every text gets the posterior over the types.
+The statistics are counts over whole texts; the words that count as common are those of the corpus. Two thresholds on
+one statistic make a noisy labelling function: beyond either it votes for one or more types, between them it abstains.
+What each function's votes are worth is learned by expectation-maximization on how the functions agree, over the counted
+vote patterns of all texts, and every text gets the posterior over the types.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,19 +21,9 @@ from quireflow.session import written
 
 TYPES = ("prose", "list", "table", "junk")
 
-#: Frequent function words of en, de, fr, es, pt, ru.
-COMMON_WORDS = (
-    "the of and to in is it that was for on with as at by from this be are or an not have has had but were which their its will you your we our if when there been who no so than "
-    "der die das und ist nicht ein eine den dem des zu mit auf für von im wurde hat bis aber noch oder wir um als sich bei sie es "
-    "le la les et est un une du que qui dans pour pas sur au ne ce nous vous avec sont a à été des par ni "
-    "el los las y en no se por con del una lo su al como más pero ha sido que para "
-    "o os as um uma do da dos das não com foi mas ainda até em ao "
-    "и в не на что с по из для до к их он но как это от"
-)
-
-
-
-_COMMON = frozenset(COMMON_WORDS.split())
+#: A common word makes up at least this share of all words (one a line counted): at most 500 words.
+COMMON_SHARE = 0.002
+_STRIP = ".,;:!?()\"'„“”«»"
 _VOWELS = "aeiouy"
 _MORE_VOWELS = "àáâãäåæèéêëìíîïòóôõöøùúûüœаеёиоуыэюя"
 _MARK = re.compile(r"\s*(?:[-*•·▪◦‣–+>]|[oO](?= \w)|\(?\d{1,3}[.)\]]|\(?[a-zA-Z][.)]|\(?[ivx]{1,5}[.)]|\[[ xX]?\]|☐|☑)\s+\S")
@@ -43,13 +36,13 @@ _SENTENCE = re.compile(r"(?:[^\W\d_]|[€%)]|\d{3})[.!?] +[^\W\d_a-zа-яà-ÿ]"
 _STRAY = re.compile(r"[#&~^§%@*_=<>{}\\](?=[^\W\d_])|(?<=[^\W\d_])[#&~^§%@*_=<>{}\\|](?=[\w\s])")
 
 STATISTICS = (
-    "word_count", "line_count", "mean_word_length", "letter_ratio", "symbol_ratio", "punctuated_line_share", "common_word_share", "marked_line_share", "cell_line_share",
-    "comma_line_share", "amount_line_share", "short_line_share", "running_line_share", "sentence_share", "coded_line_share", "same_sign_line_share", "stray_sign_share",
+    "word_count", "line_count", "mean_word_length", "letter_ratio", "symbol_ratio", "punctuated_line_share", "common_word_share", "marked_line_share", "divided_line_share",
+    "amount_line_share", "short_line_share", "running_line_share", "unended_line_share", "sentence_share", "coded_line_share", "stray_sign_share",
     "vowel_ratio", "distinct_word_share", "words_per_line",
 )
 
 
-def measure(t: str) -> tuple[float, ...]:
+def measure(t: str, common: frozenset[str] = frozenset()) -> tuple[float, ...]:
     """The statistics of one text, in the order of STATISTICS; ratios are 0 for texts without lines or words."""
     lines = [x for x in t.split("\n") if x and not x.isspace()]
     low = t.lower()
@@ -59,7 +52,8 @@ def measure(t: str) -> tuple[float, ...]:
     alnum = len(re.sub(r"[\W_]+", "", t))
     letters = len(re.sub(r"[\W\d_]+", "", t))
     vowels = sum(map(low.count, _VOWELS if t.isascii() else _VOWELS + _MORE_VOWELS))
-    end = marked = cells = commas = amounts = short = running = coded = same = 0
+    end = marked = divided = amounts = short = running = coded = unended = 0
+    capitals, before = t.isupper(), "."
     long_word = max(map(len, words), default=0) >= 50
     for line in lines:
         s = line.strip()
@@ -67,28 +61,59 @@ def measure(t: str) -> tuple[float, ...]:
         short += len(line) <= 48
         end += last in ".!?"
         first = s[0]
-        if first.islower() and line.count(" ") >= 6:
+        gaps = line.count(" ")
+        if gaps >= 4 and len(s) >= 4 * gaps and ((first.islower() and gaps >= 6) or (capitals and before not in ".!?:" and len(set(s.split())) >= 4)):
             running += 1
+        before = last
+        if last.isalpha() and (x := s[s.rfind(" ") + 1 :]) in common and x != s:
+            unended += 1
         if not first.isalpha() or first in "oO" or s[1:2] in (".", ")"):
             marked += _MARK.match(line) is not None
-        if "\t" in s or "|" in s or ";" in s or "  " in s:
-            cells += len(_GAP.findall(s.strip("|; "))) >= 2
+        cells = ("\t" in s or "|" in s or ";" in s or "  " in s) and len(_GAP.findall(s.strip("|; "))) >= 2
         if last.isdigit() or last in '%")|€RD':
             amounts += _AMOUNT_END.search(line) is not None
-            commas += s.count(",") >= 2 and _CSV_END.search(line) is not None
+            cells = cells or s.count(",") >= 2 and _CSV_END.search(line) is not None
+        divided += cells
         if len(set(s)) <= 2 and len(s) >= 2:
-            same += 1
+            coded += 1
         elif (long_word and _BASE64.search(s)) or (len(s) >= 20 and s[-3:-2] == " " and _HEX.search(s)):
             coded += 1
     return (
         float(len(words)), float(len(lines)), chars / nw if words else 0.0, letters / chars, max(0, chars - alnum) / chars if words else 0.0, end / nl,
-        sum(w.strip(".,;:!?()\"'„“”«»") in _COMMON for w in words) / nw, marked / nl, cells / nl, commas / nl, amounts / nl, short / nl, running / nl,
-        len(_SENTENCE.findall(t)) / nl, coded / nl, same / nl, len(_STRAY.findall(t)) / nw, vowels / letters if letters else 0.0, len(set(words)) / nw if words else 0.0, nw / nl if words else 0.0,
+        sum(w.strip(_STRIP) in common for w in words) / nw, marked / nl, divided / nl, amounts / nl, short / nl, running / nl, unended / nl,
+        len(_SENTENCE.findall(t)) / nl, coded / nl, len(_STRAY.findall(t)) / nw, vowels / letters if letters else 0.0, len(set(words)) / nw if words else 0.0, nw / nl if words else 0.0,
     )
 
 
-def text_statistics(text: Column) -> Column:
-    """struct of per-text statistics, null for null texts.
+def common_words(df: DataFrame, text: str) -> frozenset[str]:
+    """The words that make up at least COMMON_SHARE of all words of the corpus; a word counts once a line."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+
+        def table() -> pd.DataFrame:
+            words: Counter = Counter()
+            for w, n in total.items():
+                w = w.strip(_STRIP)
+                words[w if w.isalpha() else ""] += n
+            return pd.DataFrame(list(words.items()), columns=["word", "n"])
+
+        for b in batches:
+            for t in b[text]:
+                for line in t.lower().split("\n") if t else ():
+                    total.update(set(line.split()))
+            if len(total) > 300_000:
+                yield table()
+                total.clear()
+        yield table()
+
+    counts = written(df.select(text).mapInPandas(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "text-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r["word"] for r in counts.filter((F.col("word") != "") & (F.col("n") >= COMMON_SHARE * total)).collect())
+
+
+def text_statistics(text: Column, common: frozenset[str]) -> Column:
+    """struct of per-text statistics, null for null texts; common has at most 1 / COMMON_SHARE words.
 
     Counted in one pass of a batched Python function: as some twenty JVM regular expressions over the whole text the
     same statistics took many times as long.
@@ -96,80 +121,114 @@ def text_statistics(text: Column) -> Column:
 
     @F.pandas_udf(", ".join(f"{n} double" for n in STATISTICS))
     def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t or "") for t in texts], columns=list(STATISTICS))
+        return pd.DataFrame([measure(t or "", common) for t in texts], columns=list(STATISTICS))
 
     return F.when(text.isNotNull(), measured(text))
 
 
-def labelling_functions(s: Column) -> list[tuple[str, str, Column]]:
-    """(name, type it votes for, condition) on a statistics struct."""
-    tabular = F.greatest(s["cell_line_share"], s["comma_line_share"])
-    spelt = (s["vowel_ratio"] >= 0.27) & (s["stray_sign_share"] < 0.1) & (s["same_sign_line_share"] < 0.3)
-    readable = (s["letter_ratio"] > 0.6) & (s["coded_line_share"] < 0.3) & (s["distinct_word_share"] > 0.12) & (s["mean_word_length"] < 16) & spelt
-    plain = (s["marked_line_share"] < 0.5) & (tabular < 0.3) & spelt
-    return [
-        ("common_words", "prose", (s["common_word_share"] >= 0.24) & (s["words_per_line"] >= 4.6) & plain),
-        ("running_lines", "prose", (s["running_line_share"] >= 0.15) & plain & readable),
-        ("sentences", "prose", (s["sentence_share"] >= 0.06) & (s["words_per_line"] >= 4.5) & plain & readable),
-        ("marks", "list", (s["marked_line_share"] >= 0.5) & (tabular < 0.4) & readable),
-        ("short_entries", "list", (s["short_line_share"] >= 0.8) & (s["words_per_line"] <= 6.2) & (s["running_line_share"] < 0.12) & (s["sentence_share"] < 0.06) & (tabular < 0.3) & readable),
-        ("no_sentences", "list", (s["sentence_share"] < 0.03) & (s["words_per_line"] <= 7) & (tabular < 0.2) & (s["amount_line_share"] < 0.3) & (s["line_count"] >= 3) & readable),
-        ("cells", "table", (s["cell_line_share"] >= 0.5) & (s["letter_ratio"] > 0.05) & (s["coded_line_share"] < 0.3) & (s["symbol_ratio"] < 0.6) & (s["mean_word_length"] > 2.2)),
-        ("commas", "table", s["comma_line_share"] >= 0.5),
-        ("amounts", "table", (s["amount_line_share"] >= 0.5) & (tabular >= 0.3)),
-        ("few_letters", "junk", (s["letter_ratio"] < 0.5) & (s["amount_line_share"] < 0.3) & (tabular < 0.5)),
-        ("signs", "junk", ((s["symbol_ratio"] >= 0.45) | (s["stray_sign_share"] >= 0.15)) & (s["amount_line_share"] < 0.3)),
-        ("same_words", "junk", (s["distinct_word_share"] < 0.12) & (s["word_count"] >= 8) & (s["common_word_share"] < 0.1) & (s["amount_line_share"] < 0.3)),
-        ("codes", "junk", (s["coded_line_share"] >= 0.3) | (s["same_sign_line_share"] >= 0.4)),
-        ("unspelt", "junk", ((s["mean_word_length"] > 16) | (s["mean_word_length"] < 2.2) | (s["vowel_ratio"] < 0.2)) & (s["amount_line_share"] < 0.3)),
-    ]
-
-
-def em(patterns: np.ndarray, counts: np.ndarray, votes: list[int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior per pattern, firing probability per function and type) of a naive Bayes mixture over vote patterns.
-
-    Starts from the functions' own types, so that the mixture's components keep their names.
+#: (statistic, low, high, types voted for at or below low, types at or above high); between low and high the function
+#: abstains, and so it does on a side without types.
+FUNCTIONS = (
+    ("common_word_share", 0.06, 0.33, "table junk", "prose"),
+    ("running_line_share", 0.02, 0.15, "list table junk", "prose"),
+    ("unended_line_share", None, 0.05, "", "prose"),
+    ("sentence_share", 0.02, 0.1, "list table junk", "prose"),
+    ("words_per_line", 6.2, 7.0, "list table junk", "prose"),
+    ("short_line_share", 0.5, 0.8, "prose", "list table junk"),
+    ("letter_ratio", 0.5, 0.75, "table junk", "prose list"),
+    ("marked_line_share", None, 0.5, "", "list"),
+    ("divided_line_share", None, 0.4, "", "table"),
+    ("amount_line_share", None, 0.5, "", "table"),
+    ("symbol_ratio", None, 0.45, "", "junk"),
+    ("vowel_ratio", 0.26, None, "junk", ""),
+    ("mean_word_length", 2.2, 16.0, "junk", "junk"),
+    ("distinct_word_share", 0.2, None, "junk", ""),
+    ("coded_line_share", None, 0.3, "", "junk"),
+    ("stray_sign_share", None, 0.15, "", "junk"),
+)
+
+
+def outcome(s: Column, f: tuple) -> Column:
+    """0 where the function abstains, 1 at or below its low threshold, 2 at or above the high one; one vote for both where they are alike."""
+    name, low, high, below, above = f
+    out = F.lit(0)
+    if high is not None:
+        out = F.when(s[name] >= high, 1 if below == above else 2).otherwise(out)
+    if low is not None:
+        out = F.when(s[name] <= low, 1).otherwise(out)
+    return out
+
+
+def majority(outcomes: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Share of the votes each type gets by pattern; a vote for several types is divided among them.
+
+    With counts a vote weighs as much as it is rare among all texts (the square of the logarithm of its share).
+    """
+    votes = np.full((len(outcomes), len(TYPES)), 1e-3)
+    for j, (*_, below, above) in enumerate(FUNCTIONS):
+        for o, types in ((1, below), (2, above)):
+            hit = outcomes[:, j] == o
+            weight = 1.0 if counts is None else np.log((counts[hit].sum() + 0.5) / (counts.sum() + 1)) ** 2
+            for t in types.split():
+                votes[hit, TYPES.index(t)] += weight / len(types.split())
+    return votes / votes.sum(axis=1, keepdims=True)
+
+
+def em(outcomes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior over TYPES per pattern, probability of each outcome by function and component) of a naive Bayes mixture.
+
+    Prose, lists and tables are a component each. Junk is whatever else there is, so every function that votes for junk
+    alone starts a component of its own. The weighed majority of the votes is the start and names the components; after
+    that only the agreements count: every outcome of every function, abstentions included, gets the probability with
+    which the components show it.
     """
-    k, m = len(TYPES), patterns.shape[1]
-    theta = np.full((m, k), 0.05)
-    for j, t in enumerate(votes):
-        theta[j, t] = 0.7
-    prior = np.full(k, 1 / k)
-    post = np.zeros((len(patterns), k))
+    alone = [(j, o) for j, (*_, below, above) in enumerate(FUNCTIONS) for o in sorted({o for o, types in ((1, below), (2, above)) if types == "junk"})]
+    alone = [(j, o) for j, o in alone if not (o == 2 and (j, 1) in alone)]  # one where both sides are the same vote
+    kinds = np.array([0, 1, 2] + [3] * len(alone))
+    start = majority(outcomes, counts)
+    start = np.where(start == start.max(axis=1, keepdims=True), start, 1e-4)  # the winner, so that no component starts amid another
+    start /= start.sum(axis=1, keepdims=True)
+    fired = np.array([outcomes[:, j] == o for j, o in alone]).T + 1e-3
+    post = np.hstack([start[:, :3], start[:, 3:] * fired / fired.sum(axis=1, keepdims=True)])
+    seen = [(outcomes == o).astype(float) for o in range(3)]
+    theta = np.zeros((outcomes.shape[1], 3, len(kinds)))
     for _ in range(rounds):
-        like = np.log(prior) + patterns @ np.log(theta) + (1 - patterns) @ np.log(1 - theta)
-        like -= like.max(axis=1, keepdims=True)
-        post = np.exp(like)
-        post /= post.sum(axis=1, keepdims=True)
         w = post * counts[:, None]
         mass = w.sum(axis=0)
-        prior = (mass + 1) / (mass.sum() + k)
-        theta = np.clip((patterns.T @ w + [[9.0 if t == c else 0.5 for c in range(k)] for t in votes]) / (mass + 10), 1e-4, 1 - 1e-4)
-    return post, theta
+        prior = (mass + 1) / (mass.sum() + len(kinds))
+        for o in range(3):
+            theta[:, o] = (seen[o].T @ w + 0.5) / (mass + 1.5)
+        like = np.log(prior) + sum(x @ np.log(theta[:, o]) for o, x in enumerate(seen))
+        like -= like.max(axis=1, keepdims=True)
+        new = np.exp(like)
+        new /= new.sum(axis=1, keepdims=True)
+        done = np.abs(new - post).max() < 1e-9
+        post = new
+        if done:
+            break
+    return np.array([post[:, kinds == k].sum(axis=1) for k in range(len(TYPES))]).T, theta
 
 
 def classify_texts(df: DataFrame, text: str, keep_text: bool = True) -> DataFrame:
     """Adds text_stats, text_kind and text_posterior (map type -> probability) to every row.
 
     Null and blank texts get null kinds and posteriors (and zero statistics where blank). Rows are neither dropped nor
-    repeated; equal texts get equal kinds. Columns with the three names are replaced. There are at most 2^14 vote
+    repeated; equal texts get equal kinds. Columns with the three names are replaced. There are at most 3^6 * 2^10 vote
     patterns whatever the data's size; only their counts reach the driver. Without keep_text the text column is left
     out, so that the statistics, counted once, can be kept in the shared folder between the two steps.
     """
     keep = [c for c in df.columns if c.lower() not in ("text_stats", "text_kind", "text_posterior") and (keep_text or c != text)]
     body = df[text]
-    s = df.select(*[df[c] for c in keep], body.rlike(r"\S").alias("__qf_some"), text_statistics(body).alias("text_stats"))
-    lfs = labelling_functions(F.col("text_stats"))
-    code = sum((F.when(cond, 1 << i).otherwise(0) for i, (_, _, cond) in enumerate(lfs)), F.lit(0))
+    s = df.select(*[df[c] for c in keep], body.rlike(r"\S").alias("__qf_some"), text_statistics(body, common_words(df, text)).alias("text_stats"))
+    code = sum((outcome(F.col("text_stats"), f) * 3**i for i, f in enumerate(FUNCTIONS)), F.lit(0))
     s = s.withColumn("__qf_votes", F.when(F.col("__qf_some"), code)).drop("__qf_some")
     if not keep_text:
         s = written(s, "text-stats")
-    counted = s.filter("__qf_votes is not null").groupBy("__qf_votes").count().collect()  # at most 2^14 rows
+    counted = s.filter("__qf_votes is not null").groupBy("__qf_votes").count().collect()  # at most 3^6 * 2^10 rows
     rows = []
     if counted:
         codes = np.array([r["__qf_votes"] for r in counted])
-        patterns = ((codes[:, None] >> np.arange(len(lfs))) & 1).astype(float)
-        post, _ = em(patterns, np.array([float(r["count"]) for r in counted]), [TYPES.index(t) for _, t, _ in lfs])
+        post, _ = em(codes[:, None] // 3 ** np.arange(len(FUNCTIONS)) % 3, np.array([float(r["count"]) for r in counted]))
         rows = [(int(c), TYPES[int(p.argmax())], {t: float(x) for t, x in zip(TYPES, p)}) for c, p in zip(codes, post)]
     verdicts = df.sparkSession.createDataFrame(rows, "__qf_code int, text_kind string, text_posterior map<string,double>")
     joined = s.join(F.broadcast(verdicts), s["__qf_votes"] == verdicts["__qf_code"], "left")
