@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from quireflow.session import written
 
-#: Items one task packs at most on average; shards are filled by hash, so none grows beyond a few per cent more.
+#: Items a shard has on average unless pack is told otherwise; shards are filled by hash, so none grows beyond a few per cent more.
 SHARD_ITEMS = 50_000
+#: Kinds of containers at most; they are brought to the driver.
+MOST_KINDS = 10_000
 
 
 class Tightest:
@@ -60,26 +62,31 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return where
 
 
-def pack(items: DataFrame, key: str, size: str, containers: DataFrame, kind: str, capacity: str) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, containers: DataFrame, kind: str, capacity: str, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Assigns every item to containers of every kind.
 
     Result: kind, container_id (string), key, piece_no (int), piece_start and piece_size (bigint), and container_used
     (bigint). An item longer than the capacity is cut into pieces of the whole capacity, each a container of its own,
     and a remainder that is packed like any other item; no other item is split. Items of null or zero size have
     nothing to pack and give no rows; repeated keys are separate items. Capacities of null or below one give no rows.
-    Items are packed in shards, so no task holds more than about SHARD_ITEMS; at most one container a shard is badly
-    filled.
+    Items are packed in shards of about shard_items each, whatever their number, so no task holds more; what that
+    costs is at most one badly filled container a shard (below 0.5 % of the capacity where a shard fills 200). Columns
+    of containers other than kind and capacity are not used; more than MOST_KINDS kinds raise ValueError.
     """
     i = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).filter("size > 0")
     c = containers.select(F.col(kind).alias("kind"), F.col(capacity).cast("long").alias("capacity")).filter("capacity > 0")
-    both = i.join(F.broadcast(c.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one")).drop("__one")
+    specs = c.limit(MOST_KINDS + 1).collect()
+    if len(specs) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    boxes = F.array(*[F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["capacity"]).cast("long").alias("capacity")) for r in specs]).cast(f"array<struct<kind:{dict(c.dtypes)['kind']},capacity:bigint>>")
+    both = i.select("key", "size", F.explode(boxes).alias("box")).select("key", "size", "box.kind", "box.capacity")
     whole = both.filter("size >= capacity").select("kind", "capacity", "key", F.posexplode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("size") / F.col("capacity")))).alias("piece_no", "__i"))
     full = whole.select("kind", F.concat_ws("-", F.lit("full"), F.col("key").cast("string"), F.monotonically_increasing_id().cast("string")).alias("container_id"), "key", F.col("piece_no"), (F.col("piece_no") * F.col("capacity")).alias("piece_start"), F.col("capacity").alias("piece_size"), F.col("capacity").alias("container_used"))
     rest = both.withColumn("part", F.col("size") % F.col("capacity")).filter("part > 0").select(
         "kind", "capacity", "key", F.floor(F.col("size") / F.col("capacity")).cast("int").alias("piece_no"), (F.col("size") - F.col("part")).alias("piece_start"), F.col("part").alias("piece_size")
     )
     rest = written(rest, "packing-items")
-    shards = max(1, -(-rest.count() // (SHARD_ITEMS * max(1, c.count()))))
+    shards = max(1, -(-rest.count() // (shard_items * max(1, len(specs)))))
     sharded = rest.withColumn("shard", F.pmod(F.xxhash64("key", "piece_start"), F.lit(shards)).cast("int"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm.addresses import link_addresses, same_place_pairs
 from quireflow.llm.encoding import repair_encoding
-from quireflow.llm.mixing import mix
+from quireflow.llm.mixing import mix, tilted
 from quireflow.llm.packing import pack
 from quireflow.llm.privacy import find_personal, redact
 from quireflow.llm.scannoise import find_scan_noise, repair_scans
@@ -109,17 +109,17 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The curriculum of the registered queries: where the rare sources are used more in the later part.
-QUERY_TILT = {"microfiche": 0.5, "courier_box": 0.5, "field_tablet": 0.25, "web_upload": -0.25}
+QUERY_SCHEDULE = {"microfiche": tilted(0.5), "courier_box": tilted(0.5), "field_tablet": [(0.0, 1.0), (0.6, 1.0), (1.0, 2.0)], "web_upload": tilted(-0.25)}
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training mix: documents in order of the progress at which they are due."""
-    return mix(_sized_documents(spark, sf_dir), "doc_id", "source", "n_tokens", load(spark, sf_dir, "mix_targets"), QUERY_TILT)[0]
+    return mix(_sized_documents(spark, sf_dir), "doc_id", "source", "n_tokens", load(spark, sf_dir, "mix_targets"), QUERY_SCHEDULE)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of every source."""
-    return mix(_sized_documents(spark, sf_dir), "doc_id", "source", "n_tokens", load(spark, sf_dir, "mix_targets"), QUERY_TILT)[1]
+    return mix(_sized_documents(spark, sf_dir), "doc_id", "source", "n_tokens", load(spark, sf_dir, "mix_targets"), QUERY_SCHEDULE)[1]
 
 
 QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p3_found": p3_found, "p3_places": p3_places, "p6_found": p6_found, "p6_redacted": p6_redacted, "p2_found": p2_found, "p2_repaired": p2_repaired, "p1_found": p1_found, "p9_found": p9_found, "p9_restored": p9_restored}

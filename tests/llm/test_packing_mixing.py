@@ -3,7 +3,7 @@ from collections import Counter
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quireflow.llm.mixing import mix, plan_shares
+from quireflow.llm.mixing import mix, plan_shares, positions, tilted
 from quireflow.llm.packing import best_fit_decreasing, pack
 from quireflow.llm.tokens import token_count
 
@@ -55,7 +55,7 @@ def test_plan():
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "ab"[i % 10 == 0], 10) for i in range(1000)] + [(2000, None, 10), (2001, "z", 10), (2002, "a", 0), (2003, "a", None)], "id long, src string, n long")
     targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.2, 3), ("empty", 0.1, 4)], "source string, target_share double, max_repeats int")
-    out, shares = mix(docs, "id", "src", "n", targets, {"b": 0.8})
+    out, shares = mix(docs, "id", "src", "n", targets, {"b": tilted(0.8)})
     rows = out.collect()
     assert [r["progress"] for r in rows] == sorted(r["progress"] for r in rows)
     got = {r["source"]: r for r in shares.collect()}
@@ -69,3 +69,40 @@ def test_mix(spark):
 def test_tokens(spark):
     df = spark.createDataFrame([("Hello world",), (None,), ("",), ("<|endoftext|>",)], "t string")
     assert [r[0] for r in df.select(token_count(df.t)).collect()][:3] == [2, 0, 0]
+
+
+def test_weights_sum_to_one_at_every_moment():
+    shares = {"a": 0.7, "b": 0.2, "c": 0.1, "none": 0.0}
+    due = positions(shares, {"b": tilted(0.9), "c": [(0.0, 0.0), (0.5, 0.0), (0.75, 1.0), (1.0, 0.2)]})
+    assert set(due) == {"a", "b", "c"} and all(p == sorted(p) and p[0] == 0 and abs(p[-1] - 1) < 1e-9 for p in due.values())
+    import numpy as np
+
+    for t in np.linspace(0.01, 0.99, 60):  # of all tokens the share t is used when the progress is t
+        used = sum(shares[s] * np.interp(t, p, np.linspace(0, 1, len(p))) for s, p in due.items())
+        assert abs(used - t) < 2e-3
+    assert due["c"][1] > 0.5  # nothing of c in the first half
+
+
+def test_progress_is_a_position_in_tokens(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], 10) for i in range(6000)], "id long, src string, n long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    rows = mix(docs, "id", "src", "n", targets, {"a": tilted(-0.9), "c": [(0.0, 0.1), (0.8, 0.1), (1.0, 5.0)]})[0].collect()
+    total = sum(r["tokens"] for r in rows)
+    used = 0
+    for r in rows:
+        assert abs(used / total - r["progress"]) < 0.01
+        used += r["tokens"]
+
+
+def test_loss_of_shards(spark):
+    import random
+
+    rng = random.Random(5)
+    items = spark.createDataFrame([(i, min(999, int(rng.lognormvariate(4.5, 0.9)) + 1)) for i in range(20_000)], "id long, n long")
+    box = spark.createDataFrame([("a", 1000, "x")], "kind string, capacity int, size string")
+    used = []
+    for shard in (20_000, 2000):
+        got = pack(items, "id", "n", box, "kind", "capacity", shard)
+        used.append(got.select("container_id").distinct().count())
+        assert got.groupBy("id").count().filter("count > 1").count() == 0 and got.count() == 20_000
+    assert used[1] <= 1.01 * used[0]
