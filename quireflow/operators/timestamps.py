@@ -3,20 +3,21 @@
 Texts are parsed by Catalyst expressions into a local civil time and an optional stated zone. Local times are then
 looked up in exploded zone-offset intervals: the intervals of a zone, one row per local year they touch, in local
 time. Two matching intervals mean that the local time is ambiguous, none that it does not exist, one gives the offset.
+The intervals are made for the zones and years that occur in the data, in the workers.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import functools
 import zoneinfo
+from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.functions.let import let
+from quireflow.session import written
 
 #: Month names and abbreviations by language (en, de, fr, es, pt), in order of the months.
 MONTH_NAMES = {
@@ -33,12 +34,6 @@ MONTH_NAMES = {
     11: "november nov novembre noviembre novembro",
     12: "december dec dezember dez décembre décembre dic diciembre dezembro",
 }
-#: First and last UTC year of the interval table.
-FIRST_YEAR, LAST_YEAR = 1970, 2100
-
-#: 2037-01-01 UTC: until then the offsets are compiled, later ones follow from rules.
-_COMPILED_UNTIL = 2114380800
-
 _MONTH = {w: m for m, names in MONTH_NAMES.items() for w in names.split()}
 _WORD = "([A-Za-zÀ-ÿ]+)"
 _TAIL = (
@@ -139,64 +134,54 @@ def _with_zone(n: Column, zone: Column) -> Column:
     return _result(F.when(good, us), offset, F.when(named, bare), abbr)
 
 
-@functools.lru_cache(maxsize=2)
-def _intervals(first: int, last: int) -> list[tuple]:
-    """Rows (zone, year, lo_us, hi_us, offset_us, abbr): offset intervals in local time, exploded to local years.
+#: Seconds between the probes for changes of the offset; two changes closer than this are not told apart.
+_STEP = 5 * 86400
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 
-    Its size is fixed by the IANA database (under 600 zones, one to three intervals a year), not by any data.
-    """
-    days = pd.date_range(f"{first}-01-01", f"{last + 1}-01-01", freq="7D", tz="UTC")
-    rows = []
-    for name in sorted(zoneinfo.available_timezones()):
-        zone = zoneinfo.ZoneInfo(name)
 
-        def at(t: int, zone=zone) -> tuple[int, str]:
-            x = dt.datetime.fromtimestamp(t, dt.UTC).astimezone(zone)
-            return int(x.utcoffset().total_seconds()), x.tzname()
-
-        utc = days.asi8 // 10**9
-        try:
-            local = days.tz_convert(name).tz_localize(None).asi8 // 10**9
-        except Exception:  # a name the local database lists but can't open
-            continue
-        offs = local - utc
-        late = utc >= _COMPILED_UNTIL
-        if late.any() and len(set(offs[(utc >= _COMPILED_UNTIL - 4 * 366 * 86400) & ~late].tolist())) > 1:  # rules go on
-            offs[late] = [at(int(t))[0] for t in utc[late]]
-        elif late.any():
-            offs[late] = at(int(utc[late][0]))[0]
-        cuts = []
-        for i in (offs[1:] != offs[:-1]).nonzero()[0]:
-            lo, hi = int(utc[i]), int(utc[i + 1])
-            before = at(lo)
+def offset_intervals(name: str, year: int) -> list[dict] | None:
+    """The offset intervals of a zone, in local time, that touch a local year of 1 to 9999; None for an unknown zone."""
+    try:
+        zone = zoneinfo.ZoneInfo(name)
+    except (KeyError, ValueError, OSError):
+        return None
+
+    def at(t: int) -> tuple[int, str]:
+        x = (_EPOCH + dt.timedelta(seconds=t)).astimezone(zone)
+        return int(x.utcoffset().total_seconds()), x.tzname()
+
+    whole = lambda *a: int((dt.datetime(*a, tzinfo=dt.UTC) - _EPOCH).total_seconds())
+    first = whole(year, 1, 1) - 2 * 86400 if year > 1 else whole(1, 1, 3)
+    last = whole(year, 12, 31) + 3 * 86400 if year < 9999 else whole(9999, 12, 29)
+    cuts, t, now = [], first, at(first)
+    while t < last:
+        step = min(t + _STEP, last)
+        then = at(step)
+        if then != now:
+            lo, hi = t, step
             while hi - lo > 1:
                 mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if at(mid)[0] == before[0] else (lo, mid)
+                lo, hi = (mid, hi) if at(mid) == now else (lo, mid)
             cuts.append(hi)
-        edges = [int(utc[0]) - 86400 * 366, *cuts, int(utc[-1]) + 86400 * 366]
-        for a, b in zip(edges, edges[1:]):
-            off, abbr = at(max(a, int(utc[0])))
-            lo, hi = a + off, b + off
-            for year in range(max(first, dt.datetime.fromtimestamp(lo, dt.UTC).year), min(last, dt.datetime.fromtimestamp(hi - 1, dt.UTC).year) + 1):
-                rows.append((name, year, lo * 10**6, hi * 10**6, off * 10**6, abbr))
-    return rows
+            step, then = hi, at(hi)
+        t, now = step, then
+    edges = [first - 366 * 86400, *cuts, last + 366 * 86400]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        offset, abbr = at(max(a, first))
+        out.append({"lo_us": (a + offset) * 10**6, "hi_us": (b + offset) * 10**6, "offset_us": offset * 10**6, "abbr": abbr})
+    return out
 
 
-@functools.lru_cache(maxsize=2)
-def _by_year(first: int, last: int) -> dict[tuple[str, int], list[dict]]:
-    spans: dict[tuple[str, int], list[dict]] = {}
-    for zone, year, lo, hi, offset, abbr in _intervals(first, last):
-        spans.setdefault((zone, year), []).append({"lo_us": lo, "hi_us": hi, "offset_us": offset, "abbr": abbr})
-    return spans
+def zone_intervals(zone_years: DataFrame) -> DataFrame:
+    """One row per zone and local year of (zone, year), with the array of its intervals; unknown zones are left out."""
 
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(z, y, s) for z, y in zip(b["zone"], b["year"]) if (s := offset_intervals(z, int(y))) is not None]
+            yield pd.DataFrame(rows, columns=["zone", "year", "spans"])
 
-def zone_intervals(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """One row per zone and local year with the array of its local-time intervals."""
-    table = pa.table({
-        "zone": [k[0] for k in _by_year(first, last)], "year": [k[1] for k in _by_year(first, last)],
-        "spans": pa.array(list(_by_year(first, last).values()), pa.list_(pa.struct([("lo_us", pa.int64()), ("hi_us", pa.int64()), ("offset_us", pa.int64()), ("abbr", pa.string())]))),
-    })
-    return spark.createDataFrame(table)
+    return zone_years.mapInPandas(spans, "zone string, year bigint, spans array<struct<lo_us:bigint,hi_us:bigint,offset_us:bigint,abbr:string>>")
 
 
 def normalize_timestamps(df: DataFrame, value: str, layout: str, zone: str) -> DataFrame:
@@ -205,16 +190,18 @@ def normalize_timestamps(df: DataFrame, value: str, layout: str, zone: str) -> D
     moment_status: exact (epoch_us is set), ambiguous (the local time occurs twice), nonexistent (it is skipped),
     unknown_zone (no usable zone) or invalid (the value is null, empty or names no day). Rows are never dropped or
     repeated; repeated rows give repeated results. Columns of df named epoch_us or moment_status are replaced, all
-    others are kept. Years outside 1970 to 2100 have no interval and count as nonexistent unless an offset is stated.
+    others are kept. Years from 1 to 9999 are known; before a zone's standard time its local mean time holds. As many
+    intervals are made as zones and years occur, a number that does not grow with the rows.
     """
     keep = [c for c in df.columns if c.lower() not in ("epoch_us", "moment_status")]
     p = "__qf_p"
-    spans = zone_intervals(df.sparkSession).select(F.col("zone").alias("__qf_zone"), F.col("year").alias("__qf_year"), F.col("spans").alias("__qf_spans"))
     q = df.select(*[df[c] for c in keep], parsed(df[value], df[layout]).alias(p))
     year = F.year(F.timestamp_micros(F.col(f"{p}.local_us"))).cast("long")
     q = q.withColumn("__qf_z", F.when(F.col(f"{p}.offset_us").isNull() & F.col(f"{p}.local_us").isNotNull(), F.coalesce(F.col(f"{p}.zone"), F.col(zone))))
-    q = q.withColumn("__qf_y", F.when(F.col("__qf_z").isNotNull(), year))
-    q = q.join(F.broadcast(spans), (F.col("__qf_z") == F.col("__qf_zone")) & (F.col("__qf_y") == F.col("__qf_year")), "left")
+    q = written(q.withColumn("__qf_y", F.when(F.col("__qf_z").isNotNull(), year)), "parsed-times")
+    occur = q.filter("__qf_y between 1 and 9999").select(F.col("__qf_z").alias("zone"), F.col("__qf_y").alias("year")).distinct()
+    spans = written(zone_intervals(occur), "zone-intervals").select(F.col("zone").alias("__qf_zone"), F.col("year").alias("__qf_year"), F.col("spans").alias("__qf_spans"))
+    q = q.join(spans, (F.col("__qf_z") == F.col("__qf_zone")) & (F.col("__qf_y") == F.col("__qf_year")), "left")
     local, abbr = F.col(f"{p}.local_us"), F.col(f"{p}.abbr")
 
     def offsets(spans: Column) -> Column:
@@ -225,7 +212,7 @@ def normalize_timestamps(df: DataFrame, value: str, layout: str, zone: str) -> D
     none = F.array().cast("array<bigint>")
     known = F.col(f"{p}.offset_us").isNotNull()
     found = F.when(known, F.array(f"{p}.offset_us")).otherwise(F.coalesce(let(F.col("__qf_spans"), offsets), none))
-    no_zone = ~known & (F.col("__qf_z").isNull() | (F.col("__qf_spans").isNull() & F.col("__qf_y").between(FIRST_YEAR, LAST_YEAR)))
+    no_zone = ~known & (F.col("__qf_z").isNull() | F.col("__qf_spans").isNull())
 
     def outcome(offs: Column) -> Column:
         status = (

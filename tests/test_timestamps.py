@@ -10,7 +10,8 @@ S = "v string, p string, z string"
 
 
 def moments(spark, rows):
-    return [(r["epoch_us"], r["moment_status"]) for r in normalize_timestamps(spark.createDataFrame(rows, S), "v", "p", "z").collect()]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], S + ", i int")
+    return [(r["epoch_us"], r["moment_status"]) for r in sorted(normalize_timestamps(df, "v", "p", "z").collect(), key=lambda r: r["i"])]
 
 
 def us(*a):
@@ -59,7 +60,8 @@ def test_against_brute_force(spark):
     rng = random.Random(7)
     zones = ["Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kolkata"]
     cases = [(dt.datetime(1975, 1, 1) + dt.timedelta(seconds=rng.randrange(124 * 365 * 86400)), rng.choice(zones)) for _ in range(3000)]
-    for y in range(1975, 2099, 3):  # all hours around the changes
+    cases += [(dt.datetime(1830, 1, 1) + dt.timedelta(seconds=rng.randrange(420 * 365 * 86400)), rng.choice(zones)) for _ in range(1500)]
+    for y in (*range(1916, 1946), *range(1975, 2150, 3)):  # all hours around the changes
         cases += [(dt.datetime(y, m, 1) + dt.timedelta(hours=h), z) for m in (3, 4, 10, 11) for h in range(0, 31 * 24, 5) for z in zones[:1]]
     rows = [(d.strftime("%Y-%m-%d %H:%M:%S"), "date_ymd", z) for d, z in cases]
     for (d, z), got in zip(cases, moments(spark, rows)):
