@@ -80,46 +80,86 @@ def _protected(text: str, known: ahocorasick.Automaton | None) -> list[tuple[int
     return spans
 
 
-def cover(text: str, seps: list[tuple[int, int, float, float]], spans: list[tuple[int, int]], cost, expected: int = 0, off: float = 0.0) -> list[str]:
-    """The cheapest segmentation of text into places.
+def covers(text: str, seps: list[tuple[int, int, float, float]], spans: list[tuple[int, int]], cost, off: float | None = None) -> dict[int, tuple[float, list[str]]]:
+    """For every number of places the cheapest segmentation of text into so many, as (cost, places); all under 0 without off.
+
+    Numbers whose cheapest segmentation costs more than splitting everywhere and off for each of its places are left out.
 
     seps: (start, end, cost of splitting here, cost of keeping it inside a value), in order. Keeping a separator is
-    free inside a protected span and splitting there costs 3. cost(place) is the cost of a place; every place more or
-    less than expected costs off.
+    free inside a protected span and splitting there costs 3. cost(place) is the cost of a place.
     """
     inside = [any(a <= s and e <= b for a, b in spans) for s, e, *_ in seps]
     n = len(seps)
     lo = [0, *[e for _, e, *_ in seps]]  # where a place may start
     hi = [*[s for s, *_ in seps], len(text)]
-    most = n + 1
-    # best[k][c]: cheapest cover of the text before place start k with c places
+    split = [*[3.0 if inside[j] else seps[j][2] for j in range(n)], 0.0]
+    counted = off is not None
+    most = sum(split) + sum(cost(text[a:b]) for a, b in zip(lo, hi)) + (off * n if counted else 0.0) + 1e-9
     best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 2)]
     best[0][0] = (0.0, -1, -1)
-    memo: dict[tuple[int, int], float] = {}
     for i in range(n + 1):
-        if not best[i]:
-            continue
+        base = min(v for v, *_ in best[i].values()) if best[i] else float("inf")
         keep = 0.0
         for j in range(i, n + 1):
             if j > i:
                 keep += 0.0 if inside[j - 1] else seps[j - 1][3]
-                if keep > 6:
+                if base + keep > most:
                     break
-            split = 0.0 if j == n else (3.0 if inside[j] else seps[j][2])
-            if (i, j) not in memo:
-                memo[i, j] = cost(text[lo[i] : hi[j]])
-            total = keep + split + memo[i, j]
+            total = keep + split[j] + cost(text[lo[i] : hi[j]])
             for c, (v, *_) in best[i].items():
-                cc = min(c + 1, most) if expected else 0
+                cc = c + 1 if counted else 0
                 if cc not in best[j + 1] or best[j + 1][cc][0] > v + total:
                     best[j + 1][cc] = (v + total, i, c)
-    c = min(best[n + 1], key=lambda c: best[n + 1][c][0] + (off * abs(c - expected) if expected else 0))
-    places, k = [], n + 1
-    while k > 0:
-        _, i, p = best[k][c]
-        places.append(text[lo[i] : hi[k - 1]])
-        k, c = i, p
-    return places[::-1]
+    out = {}
+    for count, (value, *_) in best[n + 1].items():
+        places, k, c = [], n + 1, count
+        while k > 0:
+            _, i, p = best[k][c]
+            places.append(text[lo[i] : hi[k - 1]])
+            k, c = i, p
+        out[count] = (value, places[::-1])
+    return out
+
+
+def cover(text: str, seps: list[tuple[int, int, float, float]], spans: list[tuple[int, int]], cost) -> list[str]:
+    """The cheapest segmentation of text into places; see covers."""
+    return covers(text, seps, spans, cost)[0][1]
+
+
+def cover_near(text: str, seps: list[tuple[int, int, float, float]], spans: list[tuple[int, int]], cost, expected: int, off: float) -> list[str]:
+    """The cheapest segmentation where every place more or less than expected costs off.
+
+    A separator that costs more to keep than two more places and off do (2 or more) is always split where nothing
+    protects it. So the text is cut there first, each part is covered for every number of places, and the parts' numbers
+    are combined: the time grows with the parts, not with the square of the line.
+    """
+    parts, start, own = [], 0, []
+    for s, e, split, keep in seps:
+        if keep >= 2 and not any(a <= s and e <= b for a, b in spans):
+            parts.append((text[start:s], start, own, split))
+            start, own = e, []
+        else:
+            own.append((s, e, split, keep))
+    parts.append((text[start:], start, own, 0.0))
+    ways: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for part, at, own, split in parts:
+        if own:
+            shifted = [(a - at, b - at) for a, b in spans if b > at and a < at + len(part)]
+            options = covers(part, [(s - at, e - at, x, y) for s, e, x, y in own], shifted, cost, off)
+        else:
+            options = {1: (cost(part), [part])}
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for c, (v, chain) in ways.items():
+            for k, (w, places) in options.items():
+                if c + k not in new or new[c + k][0] > v + w + split:
+                    new[c + k] = (v + w + split, (chain, places))
+        ways = new
+    best = min(ways, key=lambda c: (ways[c][0] + off * abs(c - expected), c))
+    out, chain = [], ways[best][1]
+    while chain:
+        chain, places = chain
+        out.append(places)
+    return [p for places in reversed(out) for p in places]
 
 
 def _pieces(text: str, known: ahocorasick.Automaton | None, cost) -> list[str]:
@@ -305,9 +345,13 @@ def split_lines(lines: list[str], known: ahocorasick.Automaton | None, words: se
         return []
     main, width = lay
 
+    memo: dict[str, float] = {}
+
     def cost(place: str) -> float:
-        v = unquoted(place)
-        return 0.25 if not v else 0.0 if v in words or _typed(v) else 0.3
+        if place not in memo:
+            v = unquoted(place)
+            memo[place] = 0.25 if not v else 0.0 if v in words or _typed(v) else 0.3
+        return memo[place]
 
     rows, typed, cells = [], 0, 0
     for at, line in enumerate(lines):
@@ -326,10 +370,7 @@ def split_lines(lines: list[str], known: ahocorasick.Automaton | None, words: se
             seps.append((m.start(), m.end(), split, keep))
         if not seps:
             continue
-        if len(seps) > 60:  # wider than any table this layout could be; places are where the main separator stands
-            ps = re.split(re.escape(main), bare)
-        else:
-            ps = cover(bare, seps, _protected(bare, known), cost, width, 0.8)
+        ps = cover_near(bare, seps, _protected(bare, known), cost, width, 0.8)
         values = [unquoted(p) for p in ps]
         full = [v for v in values if v]
         if len(full) < 2 or abs(len(values) - width) > 1:
@@ -353,10 +394,17 @@ def split_lines(lines: list[str], known: ahocorasick.Automaton | None, words: se
 
 
 def line_dictionary(readings: DataFrame, lines: str) -> DataFrame:
-    """Counts (value, n) of values with a separator inside, from lines that bars or tabs divide without doubt."""
+    """Counts (value, n) of values with a separator inside, from lines that bars or tabs divide without doubt.
+
+    A value all pieces of which stand in places of their own as often as it does is no whole value.
+    """
     line = readings.select(F.explode(F.transform(lines, lambda x: x["text"])).alias("line")).filter(F.col("line").rlike(r"\||\t"))
-    value = line.select(F.explode(F.split("line", r"\s*[|\t]\s*")).alias("value")).filter(F.col("value").rlike(r"^[A-Za-z][^\d\"]*[,;&/][^\d\"]*$"))
-    return value.groupBy("value").agg(F.count("*").alias("n")).filter("n >= 3")
+    places = line.select(F.explode(F.split("line", r"\s*[|\t]\s*")).alias("value")).filter(F.length("value") > 0).groupBy("value").agg(F.count("*").alias("n"))
+    places = written(places, "line-places")
+    values = places.filter(F.col("value").rlike(r"^[A-Za-z][^\d\"]*[,;&/][^\d\"]*$"))
+    pieces = values.select("value", "n", F.explode(F.transform(F.split("value", "[,;&/]"), lambda p: F.trim(p))).alias("piece")).filter("piece <> ''")
+    alone = pieces.join(places.select(F.col("value").alias("piece"), F.col("n").alias("alone")), "piece", "left")
+    return alone.groupBy("value", "n").agg(F.min(F.coalesce("alone", F.lit(0))).alias("least")).filter("least < n").select("value", "n")
 
 
 def split_table_lines(readings: DataFrame, lines: str) -> DataFrame:
@@ -372,14 +420,15 @@ def split_table_lines(readings: DataFrame, lines: str) -> DataFrame:
     shared = readings.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf("array<struct<line_no:int,item_pos:int,item_value:string>>")
-    def items(texts: pd.Series) -> pd.Series:
+    def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = shared.value
         known = automaton(list(words))
-        out = []
-        for ls in texts:
-            got = [] if ls is None else split_lines([x or "" for x in ls], known, words)
-            out.append([{"line_no": a, "item_pos": i, "item_value": v} for a, i, v in got])
-        return pd.Series(out)
+        for texts in batches:
+            out = []
+            for ls in texts:
+                got = [] if ls is None else split_lines([x or "" for x in ls], known, words)
+                out.append([{"line_no": a, "item_pos": i, "item_value": v} for a, i, v in got])
+            yield pd.Series(out)
 
     keep = [c for c in readings.columns if c.lower() != "items"]
     return readings.select(*keep, items(F.transform(lines, lambda x: x["text"])).alias("items"))

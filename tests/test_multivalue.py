@@ -1,4 +1,4 @@
-from quireflow.operators.multivalue import automaton, cover, split_cells, split_lines, split_table_lines, unquoted
+from quireflow.operators.multivalue import automaton, cover, cover_near, split_cells, split_lines, split_table_lines, unquoted
 
 TABLE = ["Statement", "Code;Description;Unit price", 'X1;"sealed box, green";"1,074.20"', "K2; blue box\t31.55", "B3;;12.28", "All totals are subject to review"]
 
@@ -92,3 +92,55 @@ def test_rare_values_of_a_large_dictionary(spark):
     df = spark.createDataFrame(rows + filler, "text string, kind string")
     got = {r["text"]: [i["item_value"] for i in r["items"]] for r in split_cells(df, "text", "kind").filter("size(items) > 0").collect()}
     assert len(got) == 751 and got["SN00000, SN00001"] == ["SN00000", "SN00001"] and got["Dent, Arno; Ruf"] == ["Dent, Arno", "Ruf"]
+
+
+def test_cover_near_is_the_cheapest_for_a_width():
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(0, 6)
+        marks = [rng.choice("|;,") for _ in range(n)]
+        words = ["abc"[rng.randint(0, 2)] * rng.randint(1, 3) for _ in range(n + 1)]
+        text = words[0] + "".join(m + w for m, w in zip(marks, words[1:]))
+        kinds = {"|": (0.0, 2.0), ";": (0.1, 0.9), ",": (0.9, 0.0)}
+        seps = [(i, i + 1, *kinds[c]) for i, c in enumerate(text) if c in kinds]
+        spans = [(2, 7)] if rng.random() < 0.4 else []
+        width, cost = rng.randint(1, 5), lambda p: (sum(map(ord, p)) % 4) / 10
+
+        def total(cuts):
+            v, start, k = 0.0, 0, 1
+            for j, (s, e, split, keep) in enumerate(seps):
+                inside = any(a <= s and e <= b for a, b in spans)
+                if j in cuts:
+                    v += (3.0 if inside else split) + cost(text[start:s])
+                    start, k = e, k + 1
+                else:
+                    v += 0.0 if inside else keep
+            return v + cost(text[start:]) + 0.8 * abs(k - width)
+
+        best = min(total(set(c)) for r in range(len(seps) + 1) for c in itertools.combinations(range(len(seps)), r))
+        got, pos, cuts = cover_near(text, seps, spans, cost, width, 0.8), 0, set()
+        for p in got[:-1]:
+            pos += len(p)
+            cuts.add(next(k for k, s in enumerate(seps) if s[0] == pos))
+            pos += 1
+        assert abs(total(cuts) - best) < 1e-9
+
+
+def test_a_wide_table():
+    rows = ["; ".join(f'"v{i}; {k}"' if k % 50 == 7 else f"{i}{k}.50" for k in range(300)) for i in range(4)]
+    got = values(rows)
+    assert len(got) == 1200 and (1, 7, "v1; 7") in got and (3, 299, "3299.50") in got
+
+
+def test_ten_times_as_many_distinct_codes(spark):
+    for k in (1, 10):
+        codes = [f"SN{i:05d}" for i in range(400 * k)]
+        parts = [f"{i % 900 + 100}-{'ABC'[i % 3]}" for i in range(400 * k)]
+        rows = [(f"{a}, {b}", "Serial numbers") for a, b in zip(codes[::2], codes[1::2])] + [(c, "Serial numbers") for c in codes[::3]]
+        rows += [(f"{a}; {b}", "Part numbers") for a, b in zip(parts[::2], parts[1::2])] + [(c, "Part numbers") for c in parts[::3]]
+        df = spark.createDataFrame(rows, "text string, kind string")
+        got = split_cells(df, "text", "kind").filter("size(items) = 2").groupBy("kind").count().collect()
+        assert {r["kind"]: r["count"] for r in got} == {"Serial numbers": 200 * k, "Part numbers": 200 * k}
