@@ -19,10 +19,9 @@ SIMILAR = 0.8
 
 
 def delivered_once(readings: DataFrame) -> DataFrame:
-    """One row per result_id: the earliest delivery."""
-    others = [c for c in readings.columns if c != "result_id"]
-    first = F.min_by(F.struct(*others), "read_at").alias("r")
-    return readings.groupBy("result_id").agg(first).select("result_id", *[F.col(f"r.{c}").alias(c) for c in others])
+    """One row per result_id: the earliest delivery. Only columns used later are read."""
+    order = Window.partitionBy("result_id").orderBy("read_at")
+    return readings.withColumn("__qf_k", F.row_number().over(order)).filter("__qf_k = 1").drop("__qf_k")
 
 
 def valid(readings: DataFrame) -> DataFrame:

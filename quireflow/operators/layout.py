@@ -61,19 +61,24 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
-def best_overlaps(readings: DataFrame, cell: float = 400.0) -> DataFrame:
-    """For every word box, its best overlap with a word of each later engine of the document.
+def best_overlaps(readings: DataFrame, cell: float = 200.0) -> DataFrame:
+    """For every word box its best overlap with a word of each later engine of the document, 0 where it meets none.
 
-    Boxes meet through the cells of the page they touch, so that no page is joined with itself as a whole.
+    Boxes meet through the square cells of the page they touch, so that no page, and no dense row of one, is joined with
+    itself as a whole.
     """
     words = readings.select("doc_id", "engine_ordinal", F.posexplode("words").alias("word_no", "t")).filter("t.bbox is not null").select("doc_id", "engine_ordinal", "word_no", F.col("t.bbox").alias("b"))
-    rows = F.sequence(F.floor(F.col("b.y") / cell), F.floor((F.col("b.y") + F.col("b.h")) / cell))
-    tiled = words.withColumn("tile", F.explode(rows))
+    span = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(0.0))) / cell))
+    tiled = words.withColumn("tile_y", F.explode(span("b.y", "b.h"))).withColumn("tile_x", F.explode(span("b.x", "b.w")))
     a, b = tiled.alias("a"), tiled.alias("b")
     box = lambda s: {k: F.col(f"{s}.b.{k}") for k in "xywh"}
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.tile") == F.col("b.tile")) & (F.col("a.engine_ordinal") < F.col("b.engine_ordinal")))
-    best = pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.engine_ordinal").alias("ord_a"), F.col("b.engine_ordinal").alias("ord_b"), F.col("a.word_no").alias("word_no"), iou(box("a"), box("b")).alias("iou"))
-    return best.groupBy("doc_id", "ord_a", "ord_b", "word_no").agg(F.max("iou").alias("best_iou"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "tile_x", "tile_y")]
+    pairs = a.join(b, same[0] & same[1] & same[2] & (F.col("a.engine_ordinal") < F.col("b.engine_ordinal")))
+    met = pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.engine_ordinal").alias("ord_a"), F.col("b.engine_ordinal").alias("ord_b"), F.col("a.word_no").alias("word_no"), iou(box("a"), box("b")).alias("iou"))
+    best = met.groupBy("doc_id", "ord_a", "ord_b", "word_no").agg(F.max("iou").alias("best_iou"))
+    engines = words.groupBy("doc_id").agg(F.collect_set("engine_ordinal").alias("engines"))  # a few a document
+    every = words.join(engines, "doc_id").select("doc_id", F.col("engine_ordinal").alias("ord_a"), F.explode(F.filter("engines", lambda e: e > F.col("engine_ordinal"))).alias("ord_b"), "word_no")
+    return every.join(best, ["doc_id", "ord_a", "ord_b", "word_no"], "left").withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0)))
 
 
 def column_clusters(readings: DataFrame, eps: float = 50.0) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+MATCH_FIELDS = ("pattern", "match_no", "value", "start_pos", "end_pos")
+
 #: The named patterns; matching ignores case.
 PATTERNS = {
     "currency": r"\$?\d{1,3}(?:,\d{3})*(?:\.\d{2})?|\d+\.\d{2}",
@@ -33,7 +40,6 @@ NUMBER_CATEGORY = {
     "currency": "currencies", "percentage": "percentages", "phone_us": "phone_numbers", "phone_intl": "phone_numbers", "ssn": "ssns", "account": "account_numbers", "form_number": "form_numbers",
     "reference": "reference_numbers", "integer": "other", "decimal": "other",
 }
-KEY_VALUE = r"([A-Za-z][A-Za-z ]{2,30}):[ ]*([^\n:]{1,100})"
 NUMBERED = r"^\s*\d+[\.\)]\s+(.+)"
 BULLETED = r"^\s*[•·▪▫◦‣⁃]\s+(.+)"
 SECTIONS = (("all_caps", r"^[A-Z][A-Z\s]{2,50}$"), ("numbered", r"^\s*\d+\.?\s+[A-Z][A-Za-z\s]{2,50}$"), ("colon_end", r"^[A-Z][A-Za-z\s]{2,50}:$"), ("potential_underlined", r"^[A-Za-z\s]{3,50}$"))
@@ -43,23 +49,27 @@ CHECKBOX = (r"\[\s*[xX✓]\s*\]", r"\(\s*[xX✓]\s*\)", r"☐|☑|□|■|▢|
 def pattern_matches(df: DataFrame, text: str, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """Long table keys, pattern, match_no, value, start_pos, end_pos of all non-overlapping matches, case ignored.
 
-    Spark has no find-all with offsets: the pieces between matches and the matches give them as prefix sums. Null
-    texts give no rows.
+    Spark has no find-all with offsets, so one Arrow pass over the texts runs all patterns; the time grows with the
+    text and its matches. Null texts give no rows; classes like \\d are those of ASCII.
     """
-    found = []
-    for name in names or PATTERNS:
-        p = "(?i)" + PATTERNS[name]
-        found.append(F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all(F.col(text), F.lit(p), 0).alias("m"), F.split(F.col(text), p, -1).alias("g")))
-    each = df.filter(F.col(text).isNotNull()).select(*keys, F.explode(F.array(*found)).alias("f")).filter(F.size("f.m") > 0)
-
-    def starts(f: Column) -> Column:
-        lengths = F.zip_with(F.slice(f["g"], F.lit(1), F.size(f["m"])), f["m"], lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-        init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        fold = F.aggregate(lengths, init, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")))
-        return fold["out"]
-
-    zipped = each.withColumn("s", starts(F.col("f"))).select(*keys, "f.pattern", F.posexplode(F.arrays_zip(F.col("f.m").alias("value"), F.col("s").alias("start_pos"))).alias("match_no", "z"))
-    return zipped.select(*keys, "pattern", "match_no", "z.value", "z.start_pos", (F.col("z.start_pos") + F.length("z.value")).alias("end_pos"))
+    wanted = {n: re.compile(PATTERNS[n], re.IGNORECASE | re.ASCII) for n in names or PATTERNS}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, cols = [], ([], [], [], [], [])
+            for row, t in enumerate(b.column(0).to_pylist()):
+                for name, p in wanted.items():
+                    for k, m in enumerate(p.finditer(t)):
+                        at.append(row)
+                        for c, v in zip(cols, (name, k, m[0], m.start(), m.end())):
+                            c.append(v)
+            kept = b.take(pa.array(at, pa.int32())).columns[1:]
+            types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, types)]], [*keys, *MATCH_FIELDS])
+
+    kinds = (T.StringType(), T.IntegerType(), T.StringType(), T.IntegerType(), T.IntegerType())
+    schema = T.StructType([*df.select(*keys).schema.fields, *[T.StructField(n, k) for n, k in zip(MATCH_FIELDS, kinds)]])
+    return df.filter(F.col(text).isNotNull()).select(text, *keys).mapInArrow(found, schema)
 
 
 def number_categories(matches: DataFrame) -> DataFrame:
@@ -73,14 +83,6 @@ def parse_currency(value: Column) -> Column:
     return F.coalesce(F.regexp_replace(value, r"[$,]", "").try_cast("double"), F.lit(0.0))
 
 
-def key_values(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """key, value pairs written with a colon: keys of 3 to 50 characters with a letter and at most five blanks."""
-    pairs = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(KEY_VALUE), 1).alias("k"), F.regexp_extract_all(F.col(text), F.lit(KEY_VALUE), 2).alias("v"))
-    out = df.select(*keys, F.posexplode(pairs).alias("pair_no", "p")).select(*keys, "pair_no", F.trim("p.k").alias("key"), F.trim("p.v").alias("value"))
-    blanks = F.length("key") - F.length(F.replace(F.col("key"), F.lit(" "), F.lit("")))
-    return out.filter((F.length("key").between(3, 50)) & (blanks <= 5) & (F.col("value") != ""))
-
-
 def _lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
@@ -102,16 +104,15 @@ def lists(df: DataFrame, text: str, keys: list[str], include_trailing: bool = Fa
 
 
 def sections(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Heading lines: keys, line_no, heading, section_type, confidence; potential underlined ones need a rule below."""
+    """Heading lines: keys, line_no, heading, section_type, underlined, confidence (0.9 with a rule below, else 0.7)."""
     order = Window.partitionBy(*keys).orderBy("line_no")
     lines = _lines(df, text, keys).withColumn("next_line", F.trim(F.lead("line").over(order))).withColumn("heading", F.trim("line"))
     kind = F.lit(None).cast("string")
     for name, p in reversed(SECTIONS):
         kind = F.when(F.col("heading").rlike(p), name).otherwise(kind)
-    typed = lines.withColumn("section_type", kind).filter("section_type is not null")
+    typed = lines.withColumn("section_type", F.when(F.col("heading") != "", kind)).filter("section_type is not null")
     ruled = F.coalesce(F.col("next_line").rlike(r"^[-=_]{3,}$"), F.lit(False))
-    kept = typed.filter((F.col("section_type") != "potential_underlined") | ruled)
-    return kept.select(*keys, "line_no", "heading", "section_type", F.when(F.col("section_type") == "potential_underlined", 0.9).otherwise(0.7).alias("confidence"))
+    return typed.select(*keys, "line_no", "heading", "section_type", ruled.alias("underlined"), F.when(ruled, 0.9).otherwise(0.7).alias("confidence"))
 
 
 def checkboxes(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

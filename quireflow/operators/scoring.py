@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quireflow.functions.let import let
-
+#: Labels with a learned example at most; their examples go to the workers.
+MOST_LABELS = 10_000
 #: Letter frequencies of English, common words, keyword families and validators.
 LETTERS = {
     "e": 0.1202, "t": 0.091, "a": 0.0812, "o": 0.0768, "i": 0.0731, "n": 0.0695, "s": 0.0628, "h": 0.0592, "r": 0.0592, "d": 0.0432, "l": 0.0398, "c": 0.0271, "u": 0.0288, "m": 0.0261, "w": 0.0209,
@@ -45,49 +48,60 @@ def length_score(text: Column) -> Column:
     return F.when(n == 0, 0.0).when(n < 10, 0.3).when(n < 50, 0.6).when(n < 200, 0.8).otherwise(0.9)
 
 
-def distribution_score(text: Column) -> Column:
-    """Mean closeness of the letter frequencies to English, 0.5 without letters; other letters count in the total."""
-    low = F.lower(text)
-    total = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    near = lambda n, c, f: F.greatest(F.lit(0.0), 1 - 10 * F.abs((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))) / n - f))
-    return let(total, lambda n: F.when(n == 0, 0.5).otherwise(functools.reduce(lambda a, b: a + b, [near(n, c, f) for c, f in sorted(LETTERS.items())]) / 26))
+_COMMON = frozenset(COMMON)
+_LATIN = re.compile("[^a-z]")
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def readability_score(text: Column) -> Column:
-    """Mean of the share of common words, 1 or 0.5 for usual word lengths, and 1 or 0.7 for mixed case."""
-    words = F.transform(tokens(text), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
-    common = F.array(*[F.lit(w) for w in COMMON])
+def distribution(text: str) -> float:
+    """Mean closeness of the letter frequencies to English, 0.5 without letters; other letters count in the total."""
+    total = sum(map(str.isalpha, text))
+    if not total:
+        return 0.5
+    low = text.lower()
+    return sum(max(0.0, 1 - 10 * abs(low.count(c) / total - f)) for c, f in sorted(LETTERS.items())) / 26
 
-    def score(ws: Column) -> Column:
-        known = F.size(F.filter(ws, lambda w: F.array_contains(common, w))) / F.size(ws)
-        mean = F.aggregate(tokens(text), F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)) / F.size(ws)
-        mixed = (F.lower(text) != text) & (F.upper(text) != text)
-        return F.when(F.size(ws) == 0, 0.0).otherwise((known + F.when(mean.between(2, 8), 1.0).otherwise(0.5) + F.when(mixed, 1.0).otherwise(0.7)) / 3)
 
-    return let(words, score)
+def readability(text: str) -> float:
+    """Mean of the share of common words, 1 or 0.5 for usual word lengths, and 1 or 0.7 for mixed case; 0 without words."""
+    words = [w for w in _BLANKS.split(text) if w]
+    if not words:
+        return 0.0
+    known = sum(_LATIN.sub("", w) in _COMMON for w in map(str.lower, words)) / len(words)
+    mean = sum(map(len, words)) / len(words)
+    return (known + (1.0 if 2 <= mean <= 8 else 0.5) + (1.0 if text.lower() != text and text.upper() != text else 0.7)) / 3
 
 
 def consistency_score(text: Column) -> Column:
     """Mean of 1 or 0.5 for usual punctuation and a falling score for special characters."""
     n = F.length(text)
-    punct = F.length(F.regexp_replace(text, r"[^.,;:!?]", "")) / n
-    special = F.length(F.regexp_replace(text, r"[a-zA-Z0-9\s.,;:!?\-()]", "")) / n
+    punct = F.length(F.regexp_replace(text, r"[^.,;:!?]+", "")) / n
+    special = F.length(F.regexp_replace(text, r"[a-zA-Z0-9\s.,;:!?\-()]+", "")) / n
     return F.when(n == 0, 0.0).otherwise((F.when(punct <= 0.3, 1.0).otherwise(0.5) + F.when(special < 0.1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 5 * special))) / 2)
 
 
 def text_scores(df: DataFrame, text: str, key: str) -> DataFrame:
-    """key and the five scores of every text that is not null."""
+    """key and the four scores of every text that is not null; letters and words are counted in one Arrow pass."""
+
+    @F.pandas_udf("distribution double, readability double")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"distribution": [distribution(t) for t in texts], "readability": [readability(t) for t in texts]})
+
     t = F.col(text)
-    scored = df.filter(t.isNotNull()).select(key, length_score(t).alias("length_score"), distribution_score(t).alias("distribution_score"), readability_score(t).alias("readability_score"), consistency_score(t).alias("consistency_score"))
-    return scored
+    scored = df.filter(t.isNotNull()).select(key, length_score(t).alias("length_score"), consistency_score(t).alias("consistency_score"), counted(t).alias("c"))
+    return scored.select(key, "length_score", F.col("c.distribution").alias("distribution_score"), F.col("c.readability").alias("readability_score"), "consistency_score")
 
 
 def formatting_scores(df: DataFrame, text: str, key: str) -> DataFrame:
     """1 - deviation / mean of the lengths of the non-blank lines, not below 0, and whether blanks are 10 to 30 %."""
-    lines = df.filter(F.col(text).isNotNull()).select(key, text, F.explode(F.split(text, "\n", -1)).alias("line")).withColumn("n", F.length(F.trim("line"))).filter("n > 0")
-    g = lines.groupBy(key).agg(F.greatest(F.lit(0.0), 1 - F.stddev_pop("n") / F.avg("n")).alias("line_consistency"), F.first(text).alias("t"))
-    blanks = (F.length("t") - F.length(F.replace(F.col("t"), F.lit(" "), F.lit("")))) / F.length("t")
-    return g.select(key, "line_consistency", F.when(blanks.between(0.1, 0.3), 1.0).otherwise(0.7).alias("spacing"))
+    t = F.col(text)
+    lengths = F.filter(F.transform(F.split(t, "\n", -1), lambda x: F.length(F.trim(x))), lambda n: n > 0)
+    sums = F.aggregate(lengths, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, n: F.struct((a["s"] + n).alias("s"), (a["q"] + n * n).alias("q")))
+    blanks = (F.length(t) - F.length(F.translate(t, " ", ""))) / F.length(t)
+    g = df.filter(t.isNotNull()).select(key, F.size(lengths).alias("k"), sums.alias("a"), F.when(blanks.between(0.1, 0.3), 1.0).otherwise(0.7).alias("spacing")).filter("k > 0")
+    mean = F.col("a.s") / F.col("k")
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("a.q") / F.col("k") - mean * mean))
+    return g.select(key, F.greatest(F.lit(0.0), 1 - deviation / mean).alias("line_consistency"), "spacing")
 
 
 def word_scores(readings: DataFrame) -> DataFrame:
@@ -118,28 +132,40 @@ def overall(scores: dict[str, tuple[Column, float]]) -> Column:
     return F.when(low > 0, top / low)
 
 
-def _is_one_of(words: list[str]) -> Callable[[Column], Column]:
-    return lambda w: w.isin(words)
-
-
-def _contains_more_than(word: str) -> Callable[[Column], Column]:
-    return lambda w: w.contains(word) & (w != word)
-
-
 def keyword_signatures(df: DataFrame, text: str, key: str) -> DataFrame:
     """key, family, score: (exact hits + half the partial ones) / (root of words * root of keywords), at most 1.
 
-    A word that contains a keyword without being it is a partial hit of it.
+    A word that contains a keyword without being it is a partial hit of it. What a word scores is kept by word, so that
+    a text is one look-up a word.
     """
-    words = df.filter(F.col(text).isNotNull()).select(key, tokens(F.lower(text)).alias("ws"))
-    out = []
-    for family, ks in FAMILIES.items():
-        kws = ks.split()
-        exact = F.size(F.filter("ws", _is_one_of(kws)))
-        partial = functools.reduce(lambda a, b: a + b, [F.size(F.filter("ws", _contains_more_than(k))) for k in kws])
-        root = F.sqrt(F.size("ws").cast("double")) * F.sqrt(F.lit(float(len(kws))))
-        out.append(F.struct(F.lit(family).alias("family"), F.when(F.size("ws") > 0, F.least(F.lit(1.0), (exact + 0.5 * partial) / root)).otherwise(0.0).alias("score")))
-    return words.select(key, F.explode(F.array(*out)).alias("s")).select(key, "s.family", "s.score")
+    families = [(f, ks.split()) for f, ks in FAMILIES.items()]
+
+    @F.pandas_udf("array<double>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str, tuple[float, ...] | None] = {}
+
+        def hits(w: str) -> tuple[float, ...] | None:
+            if w not in memo:
+                if len(memo) > 300_000:
+                    memo.clear()
+                h = tuple(1.0 * (w in ks) + 0.5 * sum(k in w and k != w for k in ks) for _, ks in families)
+                memo[w] = h if any(h) else None
+            return memo[w]
+
+        for texts in batches:
+            out = []
+            for t in texts:
+                words = [w for w in _BLANKS.split(t.lower()) if w]
+                sums = [0.0] * len(families)
+                for h in filter(None, map(hits, words)):
+                    sums = [a + b for a, b in zip(sums, h)]
+                root = math.sqrt(len(words))
+                out.append([min(1.0, s / (root * math.sqrt(len(ks)))) if words else 0.0 for s, (_, ks) in zip(sums, families)])
+            yield pd.Series(out)
+
+    names = F.array(*[F.lit(f) for f, _ in families])
+    rows = df.filter(F.col(text).isNotNull()).select(key, F.explode(F.arrays_zip(names.alias("family"), scored(F.col(text)).alias("score"))).alias("s"))
+    return rows.select(key, "s.family", "s.score")
 
 
 def best_guess(candidates: DataFrame) -> DataFrame:
@@ -156,12 +182,28 @@ def best_guess(candidates: DataFrame) -> DataFrame:
 
 
 def learned_similarity(vectors: DataFrame) -> DataFrame:
-    """Cosine of every vector with the first example of each label: vec_id, label, similarity."""
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("example"))  # one row a label
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("vec_id", "embedding", F.lit(1).alias("k"))
-    pairs = v.join(F.broadcast(first.select(F.col("label").alias("learned"), "example", F.lit(1).alias("k"))), "k")
-    return pairs.select("vec_id", "learned", (dot(F.col("embedding"), F.col("example")) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("example"), F.col("example"))))).alias("similarity"))
+    """Cosine of every vector with the first example of each label: vec_id, label, similarity.
+
+    Every vector meets every label, as the problem asks; the examples are one row a label and go to the workers as
+    one array, of at most MOST_LABELS rows.
+    """
+    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("example"))
+    examples = first.limit(MOST_LABELS + 1).collect()
+    if len(examples) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    names = [r["label"] for r in examples]
+    matrix = np.array([r["example"] for r in examples], dtype=float).reshape(len(names), -1)
+    matrix = matrix / np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+
+    @F.pandas_udf("array<double>")
+    def cosines(batch: pd.Series) -> pd.Series:
+        v = np.stack(batch.to_numpy()).astype(float)
+        return pd.Series(list((v @ matrix.T) / np.sqrt((v**2).sum(axis=1, keepdims=True))))
+
+    kind = dict(vectors.dtypes)["label"]
+    labels = F.array(*[F.lit(n) for n in names]).cast(f"array<{kind}>")
+    zipped = F.explode(F.arrays_zip(labels.alias("learned"), cosines("embedding").alias("similarity")))
+    return vectors.filter("embedding is not null").select("vec_id", zipped.alias("s")).select("vec_id", "s.learned", "s.similarity")
 
 
 # Images: arrays of grey values, for use inside an Arrow function over binaryFile rows

@@ -83,9 +83,9 @@ SQL = {
     "lease_examples": "select id, document_type, user_label from document_examples where document_type = 'lease' or user_label = 'lease'",
     "accuracy_outcomes": f"{_ONCE} select document_type, count(*) as usage_count, round(avg(cast(accuracy_score >= 0.8 as int)), 6) as success_rate from p where accuracy_score is not null group by document_type",
     "correction_types": f"""with once as (select * from engine_results qualify row_number() over (partition by result_id order by read_at) = 1),
- v as (select r.doc_id, r.engine_name, trim(coalesce(r.text, ''), ' ') as e, trim(coalesce(k.consensus_text, ''), ' ') as c from once r join consensus k using (doc_id) where coalesce(len(r.errors), 0) = 0 and r.text <> '' and r.confidence > 0.1),
+ v as (select r.doc_id, r.engine_name, coalesce(r.text, '') as e, coalesce(k.consensus_text, '') as c from once r join consensus k using (doc_id) where coalesce(len(r.errors), 0) = 0 and r.text <> '' and r.confidence > 0.1),
  t as (select doc_id, engine_name, case when e = '' and c <> '' then 'missing_extraction' when e <> '' and c = '' then 'false_positive' when e = '' and c = '' then 'both_empty' when length(e) <> length(c) then 'length_mismatch'
- when {_SWAPS} then 'character_substitution' when lower(replace(e, ' ', '')) = lower(replace(c, ' ', '')) then 'formatting_error' else 'content_difference' end as error_type from v)
+ when {_SWAPS} then 'character_substitution' when translate(e, ' ,.', '') = translate(c, ' ,.', '') then 'formatting_error' else 'content_difference' end as error_type from v)
  select *, case when error_type in ('missing_extraction', 'false_positive') then 'high' when error_type in ('character_substitution', 'formatting_error') then 'medium' else 'low' end as impact from t""",
     "run_summary": "select status, method, count(*) as documents from consensus group by status, method",
 }

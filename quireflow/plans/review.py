@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from quireflow.operators import feedback as f
 from quireflow.operators.consensus import delivered_once, valid
-from quireflow.operators.scoring import keyword_signatures
-from quireflow.plans.scoring import SQL as _SCORING_SQL
 from quireflow.session import load
 
 
@@ -22,15 +20,7 @@ def pattern_issue_counts(spark, sf_dir):
 
 
 def value_kinds(spark, sf_dir):
-    return _matches(spark, sf_dir).select("match_id", f.value_kind(F.col("value")).alias("value_kind"), f.value_pattern(F.col("value")).alias("value_pattern"))
-
-
-def discovered_types(spark, sf_dir):
-    tables = load(spark, sf_dir, "table_cells").groupBy("doc_id").agg(F.countDistinct("table_idx").alias("tables"))
-    money = _matches(spark, sf_dir).groupBy("doc_id").agg(F.count(F.when(F.col("pattern") == "currency", 1)).alias("currencies"))
-    counts = money.join(tables, "doc_id", "left").withColumn("tables", F.coalesce("tables", F.lit(0)))
-    found = f.discovered_types(keyword_signatures(load(spark, sf_dir, "documents"), "text", "doc_id"), counts)
-    return found.withColumn("confidence", F.round("confidence", 6))
+    return _matches(spark, sf_dir).select("match_id", f.value_kind(F.col("value"), F.col("pattern")).alias("value_kind"), f.value_pattern(F.col("value")).alias("value_pattern"))
 
 
 def text_labels(spark, sf_dir):
@@ -58,7 +48,7 @@ def greedy_box_match(spark, sf_dir):
     return f.greedy_box_match(side(True, "word_no"), side(False, "region_no"))
 
 
-QUERIES = {q.__name__: q for q in (pattern_issue_counts, value_kinds, discovered_types, text_labels, top_patterns, quality_indicators, greedy_box_match)}
+QUERIES = {q.__name__: q for q in (pattern_issue_counts, value_kinds, text_labels, top_patterns, quality_indicators, greedy_box_match)}
 
 _M = "m as (select distinct on (match_id) match_id, doc_id, pattern, value from pattern_matches)"
 _LIST = "array_to_string(list_filter([{}], lambda x: x is not null), ',')"
@@ -67,22 +57,19 @@ SQL = {
     "pattern_issue_counts": f"""with once as (select * from engine_results qualify row_number() over (partition by result_id order by read_at) = 1),
  p as (select r.doc_id, r.engine_name, r.text as e, k.consensus_text as c from once r join consensus k using (doc_id) where coalesce(len(r.errors), 0) = 0 and r.text <> '' and r.confidence > 0.1 and k.consensus_text is not null)
  select doc_id, engine_name, {_LIST.format(
-        "case when contains(e, '$') and contains(c, '$') and replace(e, ',', '') = replace(c, ',', '') and e <> c then 'currency_separator' end, "
-        f"case when (regexp_matches(e, '{f.SLASHED}') and regexp_matches(c, '{f.DASHED}')) or (regexp_matches(e, '{f.DASHED}') and regexp_matches(c, '{f.SLASHED}')) then 'date_separator' end, "
-        "case when regexp_matches(e, '\\d{3}.\\d{3}.\\d{4}') and regexp_matches(c, '\\d{3}.\\d{3}.\\d{4}') and e <> c and regexp_replace(e, '[^0-9]', '', 'g') = regexp_replace(c, '[^0-9]', '', 'g') then 'phone_formatting' end"
+        "case when (contains(e, '$') or contains(c, '$')) and contains(e, '.') and contains(c, ',') then 'currency_separator' end, "
+        f"case when (regexp_matches(e, '{f.SLASHED[0]}') or regexp_matches(e, '{f.SLASHED[1]}')) and (replace(e, '/', '-') = c or replace(e, '-', '/') = c) then 'date_separator' end, "
+        "case when (regexp_matches(e, '\\d{3}.\\d{3}.\\d{4}') or regexp_matches(c, '\\d{3}.\\d{3}.\\d{4}')) and regexp_replace(e, '[^0-9]', '', 'g') = regexp_replace(c, '[^0-9]', '', 'g') then 'phone_formatting' end"
     )} as issues from p""",
-    "value_kinds": f"with {_M} select match_id, case " + " ".join(f"when regexp_matches(trim(value, ' '), '{p}') then '{k}'" for k, p in f.VALUE_KINDS)
+    "value_kinds": f"with {_M} select match_id, case " + " ".join("when " + " or ".join(f"contains(lower(pattern), '{w}')" for w in ws.split()) + f" then '{k}'" for k, ws in f.NAME_KINDS) + " " + " ".join(f"when regexp_matches(value, '{p}') then '{k}'" for k, p in f.VALUE_KINDS)
     + " else 'text' end as value_kind, regexp_replace(regexp_replace(value, '[A-Za-z]+', 'A', 'g'), '[0-9]+', '9', 'g') as value_pattern from m",
-    "discovered_types": _SCORING_SQL["keyword_signatures"].rsplit(" select ", 1)[0] + f""", {_M}, n as (select doc_id, count(*) filter (pattern = 'currency') as money from m group by doc_id),
- tt as (select doc_id, count(distinct table_idx) as tables from table_cells group by doc_id), c as (select n.doc_id, money, coalesce(tables, 0) as tables from n left join tt using (doc_id))
- select doc_id, family || '_document' as type, round(score, 6) as confidence from sig where """
-    + " or ".join(f"(family = '{k}' and score > {v})" for k, v in f.DISCOVERY.items())
-    + " union all select doc_id, 'invoice_like', 0.8 from c where tables > 0 and money > 2 union all select doc_id, 'report_like', 0.7 from c where tables = 0 and money <= 2",
-    "text_labels": """with t as (select doc_id, list_concat(list_transform(regexp_extract_all(consensus_text, '(?i)\\bform\\s+(\\w+-?\\w*)\\b', 1), lambda x: 'form_' || lower(x)),
- list_filter([""" + ", ".join(f"'{p}'" for p in f.PURPOSES) + """], lambda p: list_contains(regexp_split_to_array(lower(consensus_text), '[^a-z]+'), p))) as l, regexp_extract(consensus_text, '\\b((?:19|20)\\d{2})\\b', 1) as y from consensus where consensus_text is not null),
- d as (select doc_id, y, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] as l from t)
- select doc_id, array_to_string(list_transform(l, lambda x, i: case when i = 1 and y <> '' then x || '_' || y else x end), '; ') as labels from d""",
+    "text_labels": "with t as (select doc_id, flatten([" + ", ".join(f"list_transform(regexp_extract_all(consensus_text, '{p}', 1), lambda x: 'form_document_' || lower(x))" for p in f.FORM_IDS) + ", "
+    + ", ".join(f"list_transform(regexp_extract_all(consensus_text, '{p}', 1)[1:2], lambda x: 'document_from_' || replace(lower(x), ' ', '_'))" for p in f.ORGANISATIONS)
+    + ", list_filter([" + ", ".join(f"case when list_contains(regexp_split_to_array(lower(consensus_text), '\\s+'), '{w}') then '{v}' end" for w, v in f.PURPOSES.items()) + """], lambda x: x is not null)]) as l,
+ regexp_extract(consensus_text, '\\b((?:19|20)\\d{2})\\b', 1) as y from consensus where consensus_text is not null),
+ d as (select doc_id, list_transform(l, lambda x, i: case when i = 1 and y <> '' then x || '_' || y else x end) as l from t)
+ select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], '; ') as labels from d""",
     "top_patterns": f"with {_M}, n as (select doc_id, pattern, count(*) as n from m group by all) select doc_id, pattern, n, row_number() over (partition by doc_id order by n desc, pattern) as rank from n qualify rank <= 3",
     "quality_indicators": f"""with {_M}, n as (select doc_id, count(*) as n from m group by doc_id), c as (select doc_id, agreement_score as a, confidence as q, coalesce(n, 0) as n from consensus left join n using (doc_id))
- select doc_id, {_LIST.format("case when a > 0.8 then 'high_engine_agreement' end, case when a < 0.5 then 'low_engine_agreement' end, case when n > 20 then 'rich_pattern_content' end, case when n < 5 then 'sparse_pattern_content' end, case when q > 0.8 then 'high_confidence' end, case when q < 0.5 then 'low_confidence' end")} as indicators from c""",
+ select doc_id, {_LIST.format("case when a > 0.8 then 'high_engine_agreement' end, case when a < 0.5 then 'low_engine_agreement' end, case when n > 20 then 'rich_structure_detected' end, case when n < 5 then 'sparse_structure' end, case when q > 0.8 then 'high_confidence' end, case when q < 0.5 then 'low_confidence' end")} as indicators from c""",
 }

@@ -73,14 +73,19 @@ _DIST = " + ".join(f"greatest(0.0, 1 - 10 * abs((length(low) - length(replace(lo
 _TOK = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
 
 
-def _signature(family: str, ks: str) -> str:
+def _signature(key: str, family: str, ks: str) -> str:
     kws = ks.split()
     inlist = "[" + ", ".join(f"'{k}'" for k in kws) + "]"
     partial = " + ".join(f"len(list_filter(ws, lambda w: contains(w, '{k}') and w <> '{k}'))" for k in kws)
-    return f"select doc_id, '{family}' as family, case when len(ws) > 0 then least(1.0, (len(list_filter(ws, lambda w: list_contains({inlist}, w))) + 0.5 * ({partial})) / (sqrt(len(ws)) * sqrt({len(kws)}.0))) else 0.0 end as score from t"
+    return f"select {key}, '{family}' as family, case when len(ws) > 0 then least(1.0, (len(list_filter(ws, lambda w: list_contains({inlist}, w))) + 0.5 * ({partial})) / (sqrt(len(ws)) * sqrt({len(kws)}.0))) else 0.0 end as score from tk"
 
 
-_SIGS = f"with t as (select doc_id, {_TOK.format('lower(text)')} as ws from documents where text is not null), sig as (" + " union all ".join(_signature(f, k) for f, k in s.FAMILIES.items()) + ")"
+def signature_sql(table: str, key: str, text: str) -> str:
+    """CTEs ending in sig (key, family, score)."""
+    return f"tk as (select {key}, {_TOK.format(f'lower({text})')} as ws from {table} where {text} is not null), sig as (" + " union all ".join(_signature(key, f, k) for f, k in s.FAMILIES.items()) + ")"
+
+
+_SIGS = "with " + signature_sql("documents", "doc_id", "text")
 
 SQL = {
     "text_scores": f"""with t as (select doc_id, text, lower(text) as low, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) as n, {_TOK.format('text')} as ws,

@@ -9,11 +9,17 @@ from quireflow.operators.consensus import delivered_once
 from quireflow.session import load
 
 #: Patterns whose offsets are compared with SQL.
-OFFSETS = ("currency", "date_ymd", "date_mdy", "date_text", "email", "percentage", "integer", "form_number", "phone_us", "zip_us", "time", "decimal")
+OFFSETS = tuple(n for n in patterns.PATTERNS if n != "po_box")
 
 
-def _once(spark, sf_dir):
-    return delivered_once(load(spark, sf_dir, "engine_results").select("result_id", "doc_id", "engine_ordinal", "engine_name", "words", "lines", "text", "read_at"))
+def _once(spark, sf_dir, *columns):
+    return delivered_once(load(spark, sf_dir, "engine_results").select("result_id", "read_at", *columns)).drop("read_at")
+
+
+def _boxes(spark, sf_dir, array="lines", *columns):
+    """Readings with only the boxes of an array."""
+    boxes = F.transform(array, lambda t: F.struct(t["bbox"].alias("bbox"))).alias(array)
+    return _once(spark, sf_dir, boxes, *columns)
 
 
 def pattern_offsets(spark, sf_dir):
@@ -29,10 +35,6 @@ def currency_amounts(spark, sf_dir):
     return m.select("match_id", F.round(patterns.parse_currency(F.col("value")), 6).alias("amount"))
 
 
-def key_values(spark, sf_dir):
-    return patterns.key_values(load(spark, sf_dir, "document_examples"), "text_content", ["id"])
-
-
 def list_runs(spark, sf_dir):
     return patterns.lists(load(spark, sf_dir, "document_examples"), "text_content", ["id"])
 
@@ -46,8 +48,8 @@ def checkboxes(spark, sf_dir):
 
 
 def line_cells(spark, sf_dir):
-    lines = _once(spark, sf_dir).select("result_id", F.posexplode("lines").alias("line_no", "t"))
-    return lines.select("result_id", "line_no", F.posexplode(layout.split_cells(F.col("t.text"))).alias("cell_no", "cell"))
+    lines = _once(spark, sf_dir, F.transform("lines", lambda t: t["text"]).alias("lines")).select("result_id", F.posexplode("lines").alias("line_no", "t"))
+    return lines.select("result_id", "line_no", F.posexplode(layout.split_cells(F.col("t"))).alias("cell_no", "cell"))
 
 
 def column_types(spark, sf_dir):
@@ -55,7 +57,7 @@ def column_types(spark, sf_dir):
 
 
 def table_groups(spark, sf_dir):
-    return layout.table_groups(_once(spark, sf_dir))
+    return layout.table_groups(_boxes(spark, sf_dir))
 
 
 def field_types(spark, sf_dir):
@@ -64,21 +66,21 @@ def field_types(spark, sf_dir):
 
 
 def best_overlaps(spark, sf_dir):
-    return layout.best_overlaps(_once(spark, sf_dir)).withColumn("best_iou", F.round("best_iou", 6))
+    return layout.best_overlaps(_boxes(spark, sf_dir, "words", "doc_id", "engine_ordinal")).withColumn("best_iou", F.round("best_iou", 6))
 
 
 def column_clusters(spark, sf_dir):
-    c = layout.column_clusters(_once(spark, sf_dir))
+    c = layout.column_clusters(_boxes(spark, sf_dir))
     return c.withColumns({n: F.round(n, 6) for n in ("x", "right")})
 
 
 def reading_order(spark, sf_dir):
-    return layout.reading_order(_once(spark, sf_dir))
+    return layout.reading_order(_boxes(spark, sf_dir))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (pattern_offsets, number_categories, currency_amounts, key_values, list_runs, typed_sections, checkboxes, line_cells, column_types, table_groups, field_types, best_overlaps, column_clusters, reading_order)
+    for f in (pattern_offsets, number_categories, currency_amounts, list_runs, typed_sections, checkboxes, line_cells, column_types, table_groups, field_types, best_overlaps, column_clusters, reading_order)
 }
 
 _ONCE = "with once as (select * from engine_results qualify row_number() over (partition by result_id order by read_at) = 1)"
@@ -106,14 +108,11 @@ SQL = {
     + " ".join(f"when '{k}' then '{v}'" for k, v in patterns.NUMBER_CATEGORY.items())
     + " end as category from pattern_matches) where category is not null group by doc_id, category",
     "currency_amounts": "select distinct on (match_id) match_id, round(coalesce(try_cast(regexp_replace(value, '[$,]', '', 'g') as double), 0.0), 6) as amount from pattern_matches where pattern = 'currency'",
-    "key_values": f"""select id, pair_no, key, value from (select id, i - 1 as pair_no, trim(k[i]) as key, trim(v[i]) as value from (select id, k, v, unnest(range(1, len(k) + 1)) as i from
- (select id, regexp_extract_all(text_content, '{patterns.KEY_VALUE}', 1) as k, regexp_extract_all(text_content, '{patterns.KEY_VALUE}', 2) as v from document_examples)))
- where length(key) between 3 and 50 and length(key) - length(replace(key, ' ', '')) <= 5 and value <> ''""",
     "list_runs": _runs("numbered", patterns.NUMBERED) + " union all " + _runs("bulleted", patterns.BULLETED),
-    "typed_sections": f"""select id, line_no, heading, section_type, case when section_type = 'potential_underlined' then 0.9 else 0.7 end as confidence from (select *, case """
+    "typed_sections": f"""select id, line_no, heading, section_type, underlined, case when underlined then 0.9 else 0.7 end as confidence from (select id, line_no, heading, coalesce(regexp_matches(next_line, '^[-=_]{{3,}}$'), false) as underlined, case """
     + " ".join(f"when regexp_matches(heading, '{p}') then '{n}'" for n, p in patterns.SECTIONS)
     + f""" end as section_type from (select id, line_no, trim(line) as heading, trim(lead(line) over (partition by id order by line_no)) as next_line from ({_LINES})))
- where section_type is not null and (section_type <> 'potential_underlined' or coalesce(regexp_matches(next_line, '^[-=_]{{3,}}$'), false))""",
+ where section_type is not null and heading <> ''""",
     "checkboxes": "select id, i - 1 as box_no, m[i] as mark, regexp_matches(m[i], '[xX✓☑■▣]') as checked from (select id, m, unnest(range(1, len(m) + 1)) as i from (select id, regexp_extract_all(text_content, '"
     + "|".join(f"(?:{x})" for x in patterns.CHECKBOX)
     + "') as m from document_examples where text_content is not null))",
@@ -131,10 +130,9 @@ e as (select result_id, group_no, floor(b.x / 10) as edge, count(*) as k from g
 select result_id, cast(group_no as bigint) as group_no, cast(sum(k) as bigint) as lines, max(k) as aligned, max(k) >= 0.5 * sum(k) as table_like from e group by result_id, group_no having sum(k) > 2""",
     "field_types": f"select cell_id, case {_FAMILIES} else 'text' end as field_type from table_cells where row_idx = 0",
     "best_overlaps": f"""{_ONCE}, w as (select doc_id, engine_ordinal, unnest(words).bbox as b, unnest(range(len(words))) as word_no from once),
-p as (select a.doc_id, a.engine_ordinal as ord_a, c.engine_ordinal as ord_b, a.word_no, a.b as p, c.b as q, least(a.b.x + a.b.w, c.b.x + c.b.w) - greatest(a.b.x, c.b.x) as iw, least(a.b.y + a.b.h, c.b.y + c.b.h) - greatest(a.b.y, c.b.y) as ih
-from w a join w c on a.doc_id = c.doc_id and a.engine_ordinal < c.engine_ordinal where a.b is not null and c.b is not null
-and floor(a.b.y / 400) <= floor((c.b.y + c.b.h) / 400) and floor(c.b.y / 400) <= floor((a.b.y + a.b.h) / 400)),
-i as (select *, case when iw > 0 and ih > 0 then iw * ih else 0.0 end as inter from p)
+o as (select distinct doc_id, engine_ordinal from w where b is not null), e as (select a.doc_id, a.engine_ordinal as ord_a, a.word_no, a.b as p, o.engine_ordinal as ord_b from w a join o on a.doc_id = o.doc_id and a.engine_ordinal < o.engine_ordinal where a.b is not null),
+q as (select e.*, c.b as q, least(p.x + p.w, c.b.x + c.b.w) - greatest(p.x, c.b.x) as iw, least(p.y + p.h, c.b.y + c.b.h) - greatest(p.y, c.b.y) as ih from e join w c on c.doc_id = e.doc_id and c.engine_ordinal = e.ord_b where c.b is not null),
+i as (select *, case when iw > 0 and ih > 0 then iw * ih else 0.0 end as inter from q)
 select doc_id, ord_a, ord_b, word_no, round(max(case when p.w * p.h + q.w * q.h - inter > 0 then inter / (p.w * p.h + q.w * q.h - inter) else 0.0 end), 6) as best_iou from i group by doc_id, ord_a, ord_b, word_no""",
     "column_clusters": f"""{_ONCE}, l as (select result_id, unnest(lines).bbox as b, unnest(range(len(lines))) as line_no from once), s as (select result_id, b, line_no,
 case when b.x - lag(b.x) over (partition by result_id order by b.x, line_no) > 50 then 1 else 0 end as new from l where b is not null),
