@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 #: Thresholds of the agreement levels, and the least ratio of texts that count as similar.
 LEVELS = ((0.9, "very_high"), (0.7, "high"), (0.5, "moderate"), (0.3, "low"))
 SIMILAR = 0.8
+#: Fixed value: a word that wins with a smaller share is unsure.
+UNSURE = 0.6
 
 
 def delivered_once(readings: DataFrame) -> DataFrame:
@@ -48,10 +50,11 @@ def _vote(pieces: DataFrame, weight: str) -> DataFrame:
     return ranked.filter("r = 1").select("doc_id", "pos", "item", (F.col("w") / F.col("total")).alias("share"))
 
 
-def word_vote(readings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def word_vote(readings: DataFrame, weights: DataFrame | None = None, least: bool = False) -> DataFrame:
     """Word by word vote by confidence, times engine weight if weights (engine_name, weight) are given.
 
-    Result: doc_id, consensus_text, positions and mean_share, the mean share of the winners' weight.
+    Result: doc_id, consensus_text, positions and mean_share, the mean share of the winners' weight; with least also
+    least_share, the smallest.
     """
     r = valid(readings)
     if weights is not None:
@@ -61,7 +64,8 @@ def word_vote(readings: DataFrame, weights: DataFrame | None = None) -> DataFram
     words = r.select("doc_id", "engine_ordinal", "weight", F.posexplode(_tokens(F.col("text"))).alias("pos", "item"))
     won = _vote(words, "weight")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), " ")
-    return won.groupBy("doc_id").agg(joined.alias("consensus_text"), F.count("*").alias("positions"), F.avg("share").alias("mean_share"))
+    more = [F.min("share").alias("least_share")] if least else []
+    return won.groupBy("doc_id").agg(joined.alias("consensus_text"), F.count("*").alias("positions"), F.avg("share").alias("mean_share"), *more)
 
 
 def character_vote(readings: DataFrame, weights: DataFrame) -> DataFrame:
@@ -152,6 +156,8 @@ def pair_ratios(readings: DataFrame) -> DataFrame:
         return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
     r = valid(readings).select("doc_id", "engine_ordinal", "engine_name", "text")
+    many = r.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")  # texts without a partner stay where they are
+    r = r.join(many, "doc_id", "left_semi")
     a = r.select("doc_id", F.col("engine_ordinal").alias("ord_a"), F.col("engine_name").alias("engine_a"), F.col("text").alias("text_a"))
     b = r.select("doc_id", F.col("engine_ordinal").alias("ord_b"), F.col("engine_name").alias("engine_b"), F.col("text").alias("text_b"))
     return a.join(b, "doc_id").filter("ord_a < ord_b").select("doc_id", "engine_a", "engine_b", ratio("text_a", "text_b").alias("ratio"))
@@ -163,3 +169,83 @@ def agreement(readings: DataFrame) -> DataFrame:
     out = valid(readings).select("doc_id").distinct().join(pairs, "doc_id", "left")
     score = F.coalesce("mean_ratio", F.lit(1.0))
     return out.select("doc_id", score.alias("agreement_score"), (F.coalesce("least_ratio", F.lit(1.0)) >= SIMILAR).alias("all_similar"), agreement_level(score).alias("agreement_level"))
+
+
+def hybrid_confidence(readings: DataFrame, weights: DataFrame) -> DataFrame:
+    """doc_id, consensus_text, word_share, char_share and confidence of the word vote.
+
+    Where some word won with less than 0.6 and the character vote is surer than the word vote, the confidence is at
+    least 0.8 of the character vote's.
+    """
+    words = word_vote(readings, weights, least=True)
+    chars = character_vote(readings, weights).select("doc_id", F.col("mean_share").alias("char_share"))
+    both = words.join(chars, "doc_id", "left")
+    unsure = (F.col("least_share") < UNSURE) & (F.col("char_share") > F.col("mean_share"))
+    confidence = F.when(unsure, F.greatest("mean_share", 0.8 * F.col("char_share"))).otherwise(F.col("mean_share"))
+    return both.select("doc_id", "consensus_text", F.col("mean_share").alias("word_share"), "char_share", confidence.alias("confidence"))
+
+
+def best_readings(readings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """doc_id, engine_name, text, confidence of the reading with the highest confidence, times engine weight if given."""
+    r = valid(readings)
+    r = r.join(weights.select("engine_name", "weight"), "engine_name", "left") if weights is not None else r.withColumn("weight", F.lit(1.0))
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.col("confidence") * F.coalesce("weight", F.lit(1.0)), 9)), "engine_ordinal")
+    return r.withColumn("r", F.row_number().over(order)).filter("r = 1").select("doc_id", "engine_name", "text", "confidence")
+
+
+def consensus_documents(documents: DataFrame, readings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """One row a document: status, method, consensus_text, confidence, agreement_score, agreement_level, engines, primary_engine, mean_time.
+
+    One valid reading is taken as it is; readings that are all similar give the text of the best of them; others are
+    voted on word by word. Without weights the vote is by confidence alone. Documents without a valid reading have the
+    status no_valid_results, no text and no agreement.
+    """
+    n = valid(readings).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("processing_time").alias("mean_time"), F.array_join(F.array_sort(F.collect_set("engine_name")), ",").alias("engines"))
+    alike = agreement(readings)
+    best = best_readings(readings, weights).select("doc_id", F.col("engine_name").alias("primary_engine"), F.col("text").alias("best_text"), F.col("confidence").alias("best_confidence"))
+    if weights is not None:
+        voted = hybrid_confidence(readings, weights).select("doc_id", F.col("consensus_text").alias("voted_text"), F.col("confidence").alias("voted_confidence"))
+        names = ("high_similarity_best_confidence", "hybrid_consensus")
+    else:
+        voted = word_vote(readings).select("doc_id", F.col("consensus_text").alias("voted_text"), F.col("mean_share").alias("voted_confidence"))
+        names = ("high_similarity_highest_confidence", "word_voting")
+    d = documents.select("doc_id").join(n, "doc_id", "left").join(alike, "doc_id", "left").join(best, "doc_id", "left").join(voted, "doc_id", "left")
+    method = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "single_engine").when(F.col("all_similar"), names[0]).otherwise(names[1])
+    by_vote = method == names[1]
+    return d.select(
+        "doc_id", F.when(F.col("n").isNull(), "no_valid_results").otherwise("success").alias("status"), method.alias("method"), F.when(by_vote, F.col("voted_text")).otherwise(F.col("best_text")).alias("consensus_text"),
+        F.when(by_vote, F.col("voted_confidence")).otherwise(F.coalesce("best_confidence", F.lit(0.0))).alias("confidence"), "agreement_score", "agreement_level", "engines", "primary_engine", "mean_time",
+    )
+
+
+def length_differences(readings: DataFrame, fused: DataFrame) -> DataFrame:
+    """doc_id, engine_name and the length of its text less that of the fused text."""
+    r = valid(readings).select("doc_id", "engine_name", F.length("text").alias("n"))
+    f = fused.filter("consensus_text is not null").select("doc_id", F.length("consensus_text").alias("m"))
+    return r.join(f, "doc_id").select("doc_id", "engine_name", (F.col("n") - F.col("m")).alias("length_difference"))
+
+
+def merge_lines(readings: DataFrame, weights: DataFrame, gap: float = 15.0) -> DataFrame:
+    """Lines of all engines merged by the groups of line_groups: weighted vote on the text, union of the boxes."""
+    r = valid(readings).join(weights.select("engine_name", "weight"), "engine_name", "left")
+    lines = r.select("doc_id", "engine_ordinal", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.posexplode("lines").alias("line_no", "t")).filter("t.bbox is not null and t.text is not null")
+    order = Window.partitionBy("doc_id").orderBy("t.bbox.y", "engine_ordinal", "line_no")
+    starts = lines.withColumn("new", F.when(F.col("t.bbox.y") - F.lag("t.bbox.y").over(order) > gap, 1).otherwise(0))
+    g = starts.withColumn("group_no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    g = g.select("doc_id", "group_no", "engine_ordinal", F.col("t.text").alias("item"), (F.coalesce("t.confidence", F.lit(0.5)) * F.col("weight")).alias("wt"), F.col("t.bbox").alias("box"))
+    at = ["doc_id", "group_no"]
+    votes = g.groupBy(*at, "item").agg(F.sum("wt").alias("v"), F.min("engine_ordinal").alias("first"))
+    here = Window.partitionBy(*at)
+    won = votes.withColumn("total", F.sum("v").over(here)).withColumn("r", F.row_number().over(here.orderBy(F.desc(F.round("v", 9)), "first", "item"))).filter("r = 1")
+    boxes = g.groupBy(*at).agg(F.count("*").alias("candidates"), *union_box("box"))
+    return won.select(*at, F.col("item").alias("line"), (F.col("v") / F.col("total")).alias("share")).join(boxes, at)
+
+
+def collected_boxes(readings: DataFrame) -> DataFrame:
+    """All boxes of the words and lines of a document's valid readings: doc_id, engine_name, kind, no, x, y, w, h."""
+    r = valid(readings)
+    out = None
+    for kind in ("words", "lines"):
+        b = r.select("doc_id", "engine_name", F.lit(kind).alias("kind"), F.posexplode(F.transform(kind, lambda t: t["bbox"])).alias("no", "b")).filter("b is not null").select("doc_id", "engine_name", "kind", "no", "b.*")
+        out = b if out is None else out.unionByName(b)
+    return out

@@ -10,7 +10,6 @@ PAGE_MODES = {"auto": 3, "single_column": 4, "single_block": 6, "single_line": 7
 ENGINE_MODES = {"legacy": 0, "lstm": 1, "combined": 2, "default": 3}
 #: Least line confidence, confidences and line height where an engine gives none.
 LEAST_LINE, LINE_DEFAULT, DETECTION_DEFAULT, LINE_HEIGHT = 0.5, 0.95, 0.8, 20.0
-BOX = "struct<x:double,y:double,w:double,h:double>"
 
 
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -23,7 +22,8 @@ def polygon_box(points: Column) -> Column:
     whole = lambda c: F.floor(c).cast("double")
     x, y = F.array_min(at(0)), F.array_min(at(1))
     found = box(whole(x), whole(y), whole(F.array_max(at(0)) - x), whole(F.array_max(at(1)) - y))
-    return F.when(F.size(points) > 0, found).otherwise(F.lit(None).cast(BOX)).alias("bbox")
+    none = F.lit(0.0)
+    return F.when(F.size(points) > 0, found).otherwise(box(none, none, none, none))
 
 
 def parse_rows(level: int, rows: Column) -> Column:

@@ -35,6 +35,11 @@ VALIDATORS = {
     "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "phone": r"^\+?1?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}$", "date": r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$",
     "currency": r"^\$?\d{1,3}(?:,\d{3})*(?:\.\d{2})?$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "zip": r"^\d{5}(?:-\d{4})?$",
 }
+#: Words a document of a type has, and the weights of the scores.
+TYPE_WORDS = {
+    "invoice": "invoice bill amount total due", "form": "form name date signature address", "receipt": "receipt paid change transaction", "letter": "dear sincerely regards letter", "report": "report analysis conclusion findings",
+}
+WEIGHTS = {"engine_confidence": 0.3, "text_quality": 0.25, "word_level_confidence": 0.2, "pattern_validation_score": 0.15, "structural_consistency": 0.1}
 MALFORMED = (r"[a-zA-Z0-9._%+-]+[@.][a-zA-Z0-9.-]*", r"\d{3}[^\d\s]\d{3}[^\d\s]\d{4}", r"\d{1,2}[^\d\s]\d{1,2}[^\d\s]\d{2,4}")
 IMAGE_WEIGHTS = {"blur": (0.25, 0.5), "noise": (0.2, 0.5), "contrast": (0.2, 0.5), "resolution": (0.15, 0.5), "skew": (0.1, 1.0), "text": (0.1, 0.5)}
 
@@ -117,6 +122,57 @@ def malformed_score(text: Column) -> Column:
     return F.when(functools.reduce(lambda a, b: a | b, [text.rlike(p) for p in MALFORMED]), 0.4).otherwise(0.7)
 
 
+def pattern_score(text: Column) -> Column:
+    """0.9 for a text that is as a whole a valid value, else by whether it has malformed ones."""
+    whole = functools.reduce(lambda a, b: a | b, [text.rlike(p) for p in VALIDATORS.values()])
+    return F.when(whole, 0.9).otherwise(malformed_score(text))
+
+
+def line_scores(readings: DataFrame) -> DataFrame:
+    """result_id, line_confidence and line_consistency (1 - deviation, 1 for a single line) of a reading's lines."""
+    lines = readings.select("result_id", F.explode("lines").alias("t")).select("result_id", F.col("t.confidence").alias("c")).filter("c is not null")
+    return lines.groupBy("result_id").agg(F.avg("c").alias("line_confidence"), (1 - F.stddev_pop("c")).alias("line_consistency"))
+
+
+def structure_scores(readings: DataFrame) -> DataFrame:
+    """result_id, word_count_consistency of words and text, and bbox_consistency, the share of words with a box."""
+    n = F.size(tokens(F.coalesce("text", F.lit(""))))
+    words = F.coalesce(F.size("words"), F.lit(-1))
+    have = F.greatest(words, F.lit(0))
+    boxed = F.size(F.filter("words", lambda t: t["bbox"].isNotNull()))
+    return readings.select(
+        "result_id", F.when(n > 0, F.greatest(F.lit(0.0), 1 - F.abs(have - n) / n)).otherwise(0.0).alias("word_count_consistency"), F.when(have > 0, boxed / have).alias("bbox_consistency"),
+    )
+
+
+def type_consistency(text: Column, expected: Column) -> Column:
+    """Share of the keywords of the expected type that a text has; 0.7 for other types, 0.5 without a text."""
+    out = F.lit(0.7)
+    for kind, words in TYPE_WORDS.items():
+        ws = words.split()
+        share = functools.reduce(lambda a, b: a + b, [F.lower(text).contains(w).cast("int") for w in ws]) / len(ws)
+        out = F.when(F.lower(expected) == kind, share).otherwise(out)
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.5).otherwise(out)
+
+
+def field_consistency(text: Column, expected: list[str]) -> Column:
+    """Share of the expected fields a text names; 1 if none is expected, 0 without a text."""
+    if not expected:
+        return F.lit(1.0)
+    share = functools.reduce(lambda a, b: a + b, [F.lower(text).contains(f.lower()).cast("int") for f in expected]) / len(expected)
+    return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(share)
+
+
+def comprehensive(scores: dict[str, Column]) -> Column:
+    """Weighted mean of the scores that are known; those of consistency besides share a weight of 0.1."""
+    extra = [k for k in scores if "consistency" in k and k not in WEIGHTS]
+    known = functools.reduce(lambda a, b: a + b, [scores[k].isNotNull().cast("int") for k in extra], F.lit(0))
+    pairs = {k: (scores[k], F.lit(w)) for k, w in WEIGHTS.items() if k in scores} | {k: (scores[k], F.when(known > 0, 0.1 / known)) for k in extra}
+    top = functools.reduce(lambda a, b: a + b, [F.coalesce(c * w, F.lit(0.0)) for c, w in pairs.values()])
+    low = functools.reduce(lambda a, b: a + b, [F.when(c.isNotNull(), w).otherwise(0.0) for c, w in pairs.values()])
+    return F.when(low > 0, top / low).otherwise(0.0)
+
+
 def validate(value: Column, kind: Column) -> Column:
     """0.95 where a value fits its kind's whole pattern, 0.1 where not, 0 for unknown kinds."""
     out = F.lit(0.0)
@@ -235,3 +291,47 @@ def dpi_category(width: Column, height: Column) -> Column:
 def image_quality(metrics: dict[str, Column]) -> Column:
     """Weighted mean of the image metrics; missing ones count as 0.5, a missing skew as 1."""
     return functools.reduce(lambda a, b: a + b, [F.coalesce(metrics.get(k, F.lit(None).cast("double")), F.lit(d)) * w for k, (w, d) in IMAGE_WEIGHTS.items()])
+
+
+def noise_score(image: np.ndarray) -> tuple[float, bool, float]:
+    """Deviation of the image from its median of 5 by 5, whether it is noisy (above a tenth of the range), and the score."""
+    g = np.pad(image.astype(float), 2, mode="edge")
+    windows = np.lib.stride_tricks.sliding_window_view(g, (5, 5)).reshape(*image.shape, 25)
+    d = float((image - np.median(windows, axis=-1)).std())
+    return d, d > 0.1 * 255, max(0.0, 1 - d / 50)
+
+
+def image_metrics(images: DataFrame, decode) -> DataFrame:
+    """path, blur, noise, contrast, width, height of binaryFile rows; decode gives the grey values of a file's bytes.
+
+    Files that can't be decoded give null metrics.
+    """
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    g = decode(bytes(content))
+                    rows.append((path, blur_score(g)[2], noise_score(g)[2], contrast_score(g)[4], float(g.shape[1]), float(g.shape[0])))
+                except Exception:
+                    rows.append((path, None, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["path", "blur", "noise", "contrast", "width", "height"])
+
+    return images.select("path", "content").mapInPandas(measured, "path string, blur double, noise double, contrast double, width double, height double")
+
+
+def image_advice(blurry: Column, noisy: Column, flat: Column, dpi: Column, skew: Column, text: Column, quality: Column) -> Column:
+    """struct(recommendations, steps, settings, engines) from what is known of an image; null flags count as good."""
+    kept = lambda *flags: F.filter(F.array(*[F.when(c, F.lit(v) if isinstance(v, str) else v) for c, v in flags]), lambda x: x.isNotNull())
+    low, skewed = dpi < 150, F.abs(skew) > 2
+    advice = kept(
+        (blurry, "Image appears blurry. Consider rescanning at higher quality."), (noisy, "High noise detected. Apply noise reduction preprocessing."),
+        (flat, "Low contrast detected. Consider histogram equalization or gamma correction."),
+        (low, F.format_string("Resolution too low for optimal OCR. Current: ~%.0f DPI, Recommended: ≥150 DPI", dpi)),
+        (skewed, F.format_string("Document skew detected (%.1f°). Consider deskewing preprocessing.", skew)), (text < 0.5, "Poor text quality detected. Check for proper binarization and text clarity."),
+    )
+    steps = kept((noisy, "noise_reduction"), (flat, "contrast_enhancement"), (skewed, "deskewing"))
+    settings = kept((blurry, "enable_image_sharpening"), (low, "use_conservative_settings"), (dpi >= 300, "use_aggressive_settings"))
+    engines = F.when(quality > 0.8, "tesseract,surya,trocr,easyocr").when(quality > 0.6, "trocr,surya,tesseract,easyocr").otherwise("trocr,easyocr,surya,tesseract")
+    return F.struct(advice.alias("recommendations"), steps.alias("steps"), settings.alias("settings"), engines.alias("engines"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.plans import documents, fusion, learning, review, scoring, texts, values
+from quireflow.plans import documents, fusion, learning, readings, review, scoring, texts, values
 
-MODULES = (fusion, texts, documents, scoring, review, learning, values)
+MODULES = (fusion, texts, documents, readings, scoring, review, learning, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

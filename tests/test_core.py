@@ -57,7 +57,7 @@ def test_ratio_depends_on_order(spark):
 
 
 def test_error_types(spark):
-    df = spark.createDataFrame([("", "x"), ("x", None), (None, ""), ("abc", "ab"), ("10O", "100"), ("AB C", "ab c"), ("cat", "dog")], "e string, c string")
+    df = spark.createDataFrame([("", "x"), ("x", None), (None, ""), ("abc", "ab"), ("10O", "100"), ("a.b", "a b"), ("AB C", "ab c")], "e string, c string")
     kinds = [r[0] for r in df.select(learning.error_type(df.e, df.c)).collect()]
     assert kinds == ["missing_extraction", "false_positive", "both_empty", "length_mismatch", "character_substitution", "formatting_error", "content_difference"]
 
