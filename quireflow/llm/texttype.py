@@ -8,6 +8,7 @@ vote patterns of all texts, and every text gets the posterior over the types.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ TYPES = ("prose", "list", "table", "junk")
 COMMON_SHARE = 0.002
 _STRIP = ".,;:!?()\"'„“”«»"
 _VOWELS = "aeiouy"
+_ASCII = re.compile("[\x00-\x7f]+")
+#: ASCII characters but those of words, letters and vowels in lower case.
+_NO_WORD, _NO_LETTER, _NO_VOWEL = (bytes(b for b in range(128) if chr(b) not in keep) for keep in ("abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", _VOWELS))
 _MORE_VOWELS = "àáâãäåæèéêëìíîïòóôõöøùúûüœаеёиоуыэюя"
 _MARK = re.compile(r"\s*(?:[-*•·▪◦‣–+>]|[oO](?= \w)|\(?\d{1,3}[.)\]]|\(?[a-zA-Z][.)]|\(?[ivx]{1,5}[.)]|\[[ xX]?\]|☐|☑)\s+\S")
 _GAP = re.compile(r" *[\t|;] *| {2,}")
@@ -49,9 +53,13 @@ def measure(t: str, common: frozenset[str] = frozenset()) -> tuple[float, ...]:
     words = low.split()
     nl, nw = len(lines) or 1, len(words) or 1
     chars = sum(map(len, words)) or 1
-    alnum = len(re.sub(r"[\W_]+", "", t))
-    letters = len(re.sub(r"[\W\d_]+", "", t))
-    vowels = sum(map(low.count, _VOWELS if t.isascii() else _VOWELS + _MORE_VOWELS))
+    plain = low.encode("ascii", "ignore")
+    alnum, letters, vowels = len(plain.translate(None, _NO_WORD)), len(plain.translate(None, _NO_LETTER)), len(plain.translate(None, _NO_VOWEL))
+    if len(plain) < len(low):
+        rest = _ASCII.sub("", low)
+        alnum += sum(map(str.isalnum, rest))
+        letters += sum(map(str.isalpha, rest))
+        vowels += sum(map(_MORE_VOWELS.__contains__, rest))
     end = marked = divided = amounts = short = running = coded = unended = 0
     capitals, before = t.isupper(), "."
     long_word = max(map(len, words), default=0) >= 50
@@ -74,7 +82,7 @@ def measure(t: str, common: frozenset[str] = frozenset()) -> tuple[float, ...]:
             amounts += _AMOUNT_END.search(line) is not None
             cells = cells or s.count(",") >= 2 and _CSV_END.search(line) is not None
         divided += cells
-        if len(set(s)) <= 2 and len(s) >= 2:
+        if len(s) >= 2 and len(set(s[:6])) <= 2 and len(set(s)) <= 2:
             coded += 1
         elif (long_word and _BASE64.search(s)) or (len(s) >= 20 and s[-3:-2] == " " and _HEX.search(s)):
             coded += 1
@@ -100,8 +108,8 @@ def common_words(df: DataFrame, text: str) -> frozenset[str]:
 
         for b in batches:
             for t in b[text]:
-                for line in t.lower().split("\n") if t else ():
-                    total.update(set(line.split()))
+                if t:
+                    total.update(itertools.chain.from_iterable(map(set, map(str.split, t.lower().split("\n")))))
             if len(total) > 300_000:
                 yield table()
                 total.clear()
