@@ -285,9 +285,12 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     by_norm: dict[str, list[int]] = {}
     for i in body:
         s = _norm(bare[i])
-        if len(s) >= 3:
+        if s[2:]:
             norms[i] = s
-            by_norm.setdefault(s, []).append(i)
+            if s in by_norm:
+                by_norm[s].append(i)
+            else:
+                by_norm[s] = [i]
     at_edge: set[int] = set()
     for i in numbers | breaks:
         k = bisect.bisect_left(full, i)
