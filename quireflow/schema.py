@@ -9,7 +9,7 @@ TOKENS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Stru
 READING = T.StructType(
     [T.StructField("path", T.StringType()), T.StructField("engine_name", T.StringType()), T.StructField("engine_ordinal", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType())]
     + [T.StructField(n, TOKENS) for n in ("words", "lines", "paragraphs")]
-    + [T.StructField("errors", T.ArrayType(T.StringType()))]
+    + [T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("processing_time", T.DoubleType())]
 )
 PERFORMANCE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("id", "engine_name", "document_type")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,10 +43,12 @@ def recognise(scans: DataFrame, names: list[str]) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 for name, (ordinal, engine) in chosen.items():
                     row = {"path": path, "engine_name": name, "engine_ordinal": ordinal, "text": "", "confidence": 0.0, "words": None, "lines": None, "paragraphs": None, "errors": []}
+                    start = time.perf_counter()
                     try:
                         row |= engine(bytes(content), path)
                     except Exception as e:  # an engine's failure is data
                         row["errors"] = [str(e)]
+                    row["processing_time"] = time.perf_counter() - start
                     rows.append(row)
             yield pd.DataFrame(rows, columns=READING.names)
 
