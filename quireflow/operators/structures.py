@@ -196,6 +196,12 @@ def count_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when((total(a) == 0) | (total(b) == 0), 0.0).otherwise(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
+def similarity_reasons(keywords: Column, layouts: Column) -> Column:
+    """What two documents are alike in: similarities above 0.7, with two digits."""
+    named = [F.when(c > 0.7, F.concat(F.lit(f"{n}_similarity: "), F.format_string("%.2f", c + 1e-9))) for n, c in (("keyword", keywords), ("layout", layouts))]
+    return F.filter(F.array(*named), lambda x: x.isNotNull())
+
+
 def text_characteristics(df: DataFrame, text: str, key: str) -> DataFrame:
     """key, total_words, total_lines, avg_word_length and numeric_ratio, the share of words with a digit."""
     ws = F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -123,7 +123,7 @@ def pattern_metadata(spark, sf_dir):
 
 
 def signature_similarities(spark, sf_dir):
-    """Similarity of every example to the first example of its type by layout signature and by counts."""
+    """Similarity of every example to the first example of its type by keywords, layout and counts, their mean, and why."""
     texts = load(spark, sf_dir, "document_examples").select("id", "text_content")
     none = spark.createDataFrame([], "id string, tables bigint")
     counts = st.structure_counts(texts, "text_content", "id", none, spark.createDataFrame([], "id string, pattern string"))
@@ -136,7 +136,15 @@ def signature_similarities(spark, sf_dir):
     few = ("tables", "lists", "forms", "sections")
     alike = st.signature_similarity(st.layout_signature(mine), st.layout_signature(theirs))
     cosine = st.count_similarity({k: mine[k] for k in few}, {k: theirs[k] for k in few})
-    return both.select("id", "document_type", F.round(alike, 6).alias("layout_similarity"), F.round(cosine, 6).alias("count_similarity"))
+    sig = scoring.keyword_signatures(texts, "text_content", "id").groupBy("id").agg(*[F.max(F.when(F.col("family") == f, F.col("score"))).alias(f"s_{f}") for f in FAMILY_NAMES])
+    other = sig.select(F.col("id").alias("first_id"), *[F.col(f"s_{f}").alias(f"t_{f}") for f in FAMILY_NAMES])
+    words = st.signature_similarity({f: F.col(f"s_{f}") for f in FAMILY_NAMES}, {f: F.col(f"t_{f}") for f in FAMILY_NAMES})
+    out = both.join(sig, "id").join(other, "first_id").select("id", "document_type", words.alias("k"), alike.alias("l"), cosine.alias("c"))
+    why = F.array_join(st.similarity_reasons(F.col("k"), F.col("l")), "; ")
+    return out.select(
+        "id", "document_type", F.round("k", 6).alias("keyword_similarity"), F.round("l", 6).alias("layout_similarity"), F.round("c", 6).alias("count_similarity"),
+        F.round((F.col("k") + F.col("l") + F.col("c")) / 3, 6).alias("similarity"), why.alias("reasons"),
+    )
 
 
 def structured_fields(spark, sf_dir):
@@ -307,8 +315,12 @@ SQL = {
     "signature_similarities": "with recursive " + _counted(*_EX, "select null::varchar as k, null::varchar as pattern where false", "select null::varchar as k, 0 as tables where false") + f""",
  f as (select document_type, min(id) as first_id from document_examples where document_type is not null group by all), t as (select e.id, e.document_type, f.first_id from document_examples e join f using (document_type)),
  j as (select t.id, t.document_type, {', '.join(f'a.{c} as a_{c}, b.{c} as b_{c}' for c in COUNTS)} from t join n a on a.id = t.id join n b on b.id = t.first_id),
- cs as (select *, {' + '.join(f'a_{c} * b_{c}' for c in ('tables', 'lists', 'forms', 'sections'))} as dot, {' + '.join(f'a_{c} * a_{c}' for c in ('tables', 'lists', 'forms', 'sections'))} as aa, {' + '.join(f'b_{c} * b_{c}' for c in ('tables', 'lists', 'forms', 'sections'))} as bb from j)
- select id, document_type, round(({' + '.join(f'1 - abs({x} - {y}) / greatest({x}, {y}, 0.1)' for x, y in zip(_layout('a_').values(), _layout('b_').values()))}) / 5, 6) as layout_similarity, round(case when aa = 0 or bb = 0 then 0.0 else dot / (sqrt(aa) * sqrt(bb)) end, 6) as count_similarity from cs""",
+ cs as (select *, {' + '.join(f'a_{c} * b_{c}' for c in ('tables', 'lists', 'forms', 'sections'))} as dot, {' + '.join(f'a_{c} * a_{c}' for c in ('tables', 'lists', 'forms', 'sections'))} as aa, {' + '.join(f'b_{c} * b_{c}' for c in ('tables', 'lists', 'forms', 'sections'))} as bb from j),
+ {signature_sql('document_examples', 'id', 'text_content')}, ks as (select id, {', '.join(f"max(score) filter (family = '{f}') as s_{f}" for f in FAMILY_NAMES)} from sig group by id),
+ r as (select cs.id, cs.document_type, ({' + '.join(f'1 - abs(a.s_{f} - b.s_{f}) / greatest(a.s_{f}, b.s_{f}, 0.1)' for f in FAMILY_NAMES)}) / 5 as k, ({' + '.join(f'1 - abs({x} - {y}) / greatest({x}, {y}, 0.1)' for x, y in zip(_layout('a_').values(), _layout('b_').values()))}) / 5 as l,
+ case when aa = 0 or bb = 0 then 0.0 else dot / (sqrt(aa) * sqrt(bb)) end as c from cs join t on t.id = cs.id join ks a on a.id = cs.id join ks b on b.id = t.first_id)
+ select id, document_type, round(k, 6) as keyword_similarity, round(l, 6) as layout_similarity, round(c, 6) as count_similarity, round((k + l + c) / 3, 6) as similarity,
+ array_to_string(list_filter([case when k > 0.7 then 'keyword_similarity: ' || printf('%.2f', k + 1e-9) end, case when l > 0.7 then 'layout_similarity: ' || printf('%.2f', l + 1e-9) end], lambda x: x is not null), '; ') as reasons from r""",
     "structured_fields": f"""with recursive {_kv(*_EX)}, l as (select k as id, key as field, arg_max(value, s) as value from kv group by k, key),
  t as (select *, case {' '.join('when ' + _has('field', w.split()) + f" then '{k}'" for k, w in st.CHECKED_KINDS)} else 'text' end as field_kind from l)
  select *, cast(case when case field_kind {' '.join(f"when '{k}' then regexp_matches(trim(value, ' '), '{p}')" for k, p in scoring.VALIDATORS.items())} else false end then 0.95 else 0.3 end as double) as confidence from t""",
