@@ -32,8 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut and a lost executor costs no recomputation."""
+    """df written to the shared folder and read again: lineage is cut and a lost executor costs no recomputation.
+
+    The table is removed when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
