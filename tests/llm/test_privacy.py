@@ -124,3 +124,27 @@ def test_every_birth_label_is_looked_for():
         assert ("date", "07.03.1961") in [(k, f"{label} 07.03.1961"[a:b]) for k, a, b in F_.find(f"{label} 07.03.1961", True)], label
     for pattern in privacy.BIRTH_LABELS:
         assert any(h in pattern.replace("s*", "").replace("\\", "") for h in privacy._BIRTH_HINTS), pattern
+
+
+def test_rare_names_stay_beside_very_frequent_ones(spark, monkeypatch):
+    """Names seen a few times are learned however many pairs the corpus has."""
+    rows = [("pair", a, b, n) for a, n in (("Tamsin", 10**9), ("Wystan", 3)) for b in ("Braxenko", "Kolvardi", "Gostidge", "Dolmerrin", "Pellark")] + [("pair", "Wystan", "Umbergast", 2), ("pair", "Wystan", "Onlyonce", 1)]
+    monkeypatch.setattr(privacy, "name_pairs", lambda texts, text: spark.createDataFrame(rows, "kind string, a string, b string, n bigint"))
+    got = {(r["name"], r["kind"]) for r in privacy.learn_names(spark.range(0), "id").collect()}
+    assert got == {("Tamsin", "g"), ("Wystan", "g")} | {(b, "f") for b in ("Braxenko", "Kolvardi", "Gostidge", "Dolmerrin", "Pellark", "Umbergast")}
+
+
+def test_names_beyond_the_broadcast_are_all_found(spark, monkeypatch):
+    """Dictionaries of any size give the same mentions and the same redaction, also of null, empty and repeated texts."""
+    families = ("Braxenko", "Kolvardi", "Gostidge", "Dolmerrin", "Pellark", "Umbergast")
+    texts = [f"yesterday {g} {f} called" for g in ("Tamsin", "Wystan") for f in families] * 2
+    texts += ["then KOLVARDI, WYSTAN came", "and Mrs Gost-\nidge with W. Umbergast", "and Mrs Kolvarcli", "nobody", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+
+    def results():
+        return sorted(map(tuple, find_personal(df, "body").collect())), sorted(((r["id"], r["pii_redacted"]) for r in redact(df, "body", "k").collect()))
+
+    whole = results()
+    assert len(whole[0]) == 28 and len(whole[1]) == len(texts)
+    monkeypatch.setattr(privacy, "NAME_BYTES", 0)
+    assert results() == whole
