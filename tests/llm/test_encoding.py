@@ -1,4 +1,8 @@
-from quireflow.llm.encoding import LEAST_MARGIN, Judge, Model, best_restoration, garbled, ngrams, repair_encoding, train, undo, undone, validated_margin
+import zlib
+from collections import Counter
+
+from quireflow.llm import encoding
+from quireflow.llm.encoding import FOLDS, LEAST_MARGIN, Judge, Model, best_restoration, garbled, ngrams, repair_encoding, tally, train, undo, undone, validated_margin
 
 CLEAN = ["Für den Vorgang wurde die Mängelliste geprüft und bestätigt, höflich und gültig.", "La señora ha añadido el albarán mañana; está todavía en revisión.", "À ce jour, le greffier n’a reçu ni le dossier médical.", "Мы просим оплатить счёт до конца месяца и вернуть печать.", "NÃO ASSINE: A CERTIDÃO NÃO É VÁLIDA. São Paulo, informação."]
 
@@ -62,3 +66,37 @@ def test_the_margin_grows_with_false_alarms():
 
     assert validated_margin(Fixed(), [["plain"]]) == LEAST_MARGIN  # nothing to garble
     assert validated_margin(Fixed(), [["geprüft"]] * 40) == 7.5
+
+
+def test_every_clean_passage_counts_for_the_margin(spark, monkeypatch):
+    """One unusual record raises the margin wherever it stands; the result is that of brute force, in any number of tasks."""
+    texts = [f"{CLEAN[i % 3]} {i}" for i in range(60)] + ["Zażółć gęślą jaźń."]
+    words = {t: [w for w in t.split() if not w.isascii()] for t in texts}
+    part = {t: zlib.crc32(t.encode()) % FOLDS for t in texts}
+    expected = Counter()
+    for fold in range(FOLDS):
+        grams = Counter()
+        for t in texts:
+            if part[t] != fold:
+                for w in words[t]:
+                    grams.update(ngrams(w))
+        passages = {tuple(words[t]) for t in texts if part[t] == fold}
+        expected += tally(Judge(Model(dict(grams))), [list(p) for p in sorted(passages)])
+    seen = []
+    cheapest = encoding.cheapest_margin
+    monkeypatch.setattr(encoding, "cheapest_margin", lambda counts: seen.append(counts) or cheapest(counts))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert train(df, "text")[1] == 6.0
+    monkeypatch.setattr(encoding, "TASK_PASSAGES", 2)
+    assert train(df, "text")[1] == 6.0
+    assert seen[0] == seen[1] == expected and sum(n for (bad, _), n in expected.items() if not bad) > FOLDS
+
+
+def test_all_ways_of_garbling_are_judged():
+    class Fixed:
+        def score(self, words):
+            return 14.0
+
+    passages = [["geprüft", "señora"], ["печать"], ["plain"]]
+    counts = tally(Fixed(), passages)
+    assert sum(n for (bad, _), n in counts.items() if bad) == sum(bool(garbled(p, k)) for p in passages for k in range(180))
